@@ -176,10 +176,9 @@ def fill_hours(
                     F.col("__span.hi").cast("timestamp"),
                     F.expr("interval 1 hour"),
                 )
-            )
-            .cast("timestamp_ntz")
-            .alias(hour),
+            ).alias(hour),
         )
+        .withColumn(hour, F.col(hour).cast("timestamp_ntz"))
     )
     return spine.join(facts, [*keys, hour], "left").withColumns({v: or_zero(v) for v in values})
 

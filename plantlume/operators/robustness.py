@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import clip
 from ..functions.scoring import scaled_between
-from .joins import left_on, with_table_stats
-from .ordering import exact_quantiles, top_rows, value_ranks
+from .joins import left_on, with_group_stats, with_table_stats
+from .ordering import exact_quantiles, top_per_group, top_rows, value_ranks
 
 
 def with_minmax_score(df: DataFrame, scores: dict[str, tuple[Column, bool]]) -> DataFrame:
@@ -25,18 +26,21 @@ def with_minmax_score(df: DataFrame, scores: dict[str, tuple[Column, bool]]) ->
     ).select(*df.columns, *scores)
 
 
-def spearman(df: DataFrame, a: str, b: str, out: str = "spearman") -> DataFrame:
-    """Rank correlation over rows where both values are known; 0 when one side is constant."""
-    both = df.select(F.col(a).alias("__a"), F.col(b).alias("__b")).where(
+def spearman(df: DataFrame, a: str, b: str, out: str = "spearman", keys: Sequence[str] = ()) -> DataFrame:
+    """Rank correlation over rows where both values are known; 0 when one side is constant.
+
+    With ``keys`` every group gets its own correlation in the same pass.
+    """
+    both = df.select(*keys, F.col(a).alias("__a"), F.col(b).alias("__b")).where(
         F.col("__a").isNotNull() & F.col("__b").isNotNull()
     )
-    ranks_a = value_ranks(both, "__a", out="__ra")
-    ranks_b = value_ranks(both, "__b", out="__rb")
+    ranks_a = value_ranks(both, "__a", keys, out="__ra")
+    ranks_b = value_ranks(both, "__b", keys, out="__rb")
     # Equal pairs are combined first, so the joins see one row per distinct pair.
-    pairs = both.groupBy("__a", "__b").agg(F.count("*").alias("__n"))
-    ranked = pairs.join(ranks_a, "__a").join(ranks_b, "__b")
+    pairs = both.groupBy(*keys, "__a", "__b").agg(F.count("*").alias("__n"))
+    ranked = pairs.join(ranks_a, [*keys, "__a"]).join(ranks_b, [*keys, "__b"])
     n, ra, rb = F.col("__n"), F.col("__ra"), F.col("__rb")
-    moments = ranked.agg(
+    moments = ranked.groupBy(*keys).agg(
         F.sum(n).alias("n"),
         F.sum(n * ra).alias("sa"),
         F.sum(n * rb).alias("sb"),
@@ -48,42 +52,67 @@ def spearman(df: DataFrame, a: str, b: str, out: str = "spearman") -> DataFrame:
     vb = F.col("n") * F.col("sbb") - F.col("sb") * F.col("sb")
     cov = F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")
     return moments.select(
-        F.when((va > 0) & (vb > 0), cov / F.sqrt(va) / F.sqrt(vb)).otherwise(F.lit(0.0)).alias(out)
+        *keys, F.when((va > 0) & (vb > 0), cov / F.sqrt(va) / F.sqrt(vb)).otherwise(F.lit(0.0)).alias(out)
     )
 
 
-def topk_overlap(df: DataFrame, a: str, b: str, ids: Sequence[str], k: int = 10, out: str = "overlap") -> DataFrame:
-    """Number of ids that are in the top k of both scores."""
+def topk_overlap(
+    df: DataFrame, a: str, b: str, ids: Sequence[str], k: int = 10, out: str = "overlap", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Number of ids that are in the top k of both scores, over the table or per group."""
     tie = [F.col(i).asc() for i in ids]
-    first = top_rows(df, [F.col(a).desc_nulls_last(), *tie], k).select(*ids).distinct()
-    second = top_rows(df, [F.col(b).desc_nulls_last(), *tie], k).select(*ids).distinct()
-    return first.intersect(second).agg(F.count("*").alias(out))
-
-
-def outlier_shift(
-    df: DataFrame,
-    value: str,
-    ids: Sequence[str],
-    score: Callable[[DataFrame, str], DataFrame],
-    out: str,
-    factor: float = 3.0,
+    if not keys:
+        first = top_rows(df, [F.col(a).desc_nulls_last(), *tie], k).select(*ids).distinct()
+        second = top_rows(df, [F.col(b).desc_nulls_last(), *tie], k).select(*ids).distinct()
+        return first.intersect(second).agg(F.count("*").alias(out))
+    first = top_per_group(df, keys, [F.col(a).desc_nulls_last(), *tie], k).select(*keys, *ids).distinct()
+    second = top_per_group(df, keys, [F.col(b).desc_nulls_last(), *tie], k).select(*keys, *ids).distinct()
+    return first.intersect(second).groupBy(*keys).agg(F.count("*").alias(out))
+
+
+def outlier_shifts(
+    df: DataFrame, value: str, ids: Sequence[str], band: Sequence[str], keys: Sequence[str], factor: float = 3.0
 ) -> DataFrame:
     """Median absolute score change of all other rows when the largest value is multiplied.
 
-    ``score(df, column)`` adds the column ``__score`` computed from the given raw column. Exactly
-    one row is moved, the first by id among equal maxima.
+    Compares anchored and min-max scaling. ``band`` names the columns with the low end, the high
+    end and the inversion flag of the anchor. Exactly one row per group is moved, the first by
+    id among equal maxima. All groups share one pass.
     """
-    rows = df.select(*ids, F.col(value).cast("double").alias("__raw"))
-    peak = top_rows(
-        rows, [F.col("__raw").desc_nulls_last(), *[F.col(i).asc() for i in ids]], 1
-    ).select(*ids, F.lit(1).alias("__peak"))
-    marked = left_on(rows, peak, ids)
-    moved = marked.withColumn(
-        "__moved", F.when(F.col("__peak") == 1, F.col("__raw") * factor).otherwise(F.col("__raw"))
+    low, high, invert = (F.col(c) for c in band)
+    raw = F.col("__raw")
+    rows = df.select(*keys, *ids, *band, F.col(value).cast("double").alias("__raw"))
+    peak = top_per_group(
+        rows, keys, [raw.desc_nulls_last(), *[F.col(i).asc() for i in ids]], 1
+    ).select(*keys, *ids, F.lit(1).alias("__peak"))
+    moved = left_on(rows, peak, [*keys, *ids]).withColumn(
+        "__moved", F.when(F.col("__peak") == 1, raw * factor).otherwise(raw)
     )
-    before = score(moved, "__raw").withColumnRenamed("__score", "__before")
-    after = score(before, "__moved").withColumnRenamed("__score", "__after")
-    change = after.where(F.col("__peak").isNull()).select(
-        F.abs(F.col("__after") - F.col("__before")).alias("__change")
+    limits = {f"__{end}{c}": f(c) for c in ("__raw", "__moved") for end, f in (("lo", F.min), ("hi", F.max))}
+    ranged = with_group_stats(moved, keys, limits)
+
+    def anchored_change() -> Column:
+        def score(c: str) -> Column:
+            share = 100.0 * (F.col(c) - low) / (high - low)
+            return clip(F.when(invert, 100.0 - share).otherwise(share), 0.0, 100.0)
+
+        return F.abs(score("__moved") - score("__raw"))
+
+    def minmax(c: str) -> Column:
+        plain = scaled_between(c, F.col(f"__lo{c}"), F.col(f"__hi{c}"))
+        return F.when(invert, 100.0 - plain).otherwise(plain)
+
+    changes = ranged.where(F.col("__peak").isNull()).select(
+        *keys,
+        F.explode(
+            F.array(
+                F.struct(F.lit("legacy").alias("scaling"), F.abs(minmax("__moved") - minmax("__raw")).alias("change")),
+                F.struct(F.lit("anchored").alias("scaling"), anchored_change().alias("change")),
+            )
+        ).alias("__c"),
+    ).select(*keys, "__c.*")
+    medians = exact_quantiles(changes, "change", {"shift": 0.5}, [*keys, "scaling"])
+    return medians.groupBy(*keys).agg(
+        F.max(F.when(F.col("scaling") == "legacy", F.col("shift"))).alias("legacy_outlier_median_abs_shift"),
+        F.max(F.when(F.col("scaling") == "anchored", F.col("shift"))).alias("anchored_outlier_median_abs_shift"),
     )
-    return exact_quantiles(change, "__change", {out: 0.5})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.expr import clip, day, hour_start, lookup, shift_day, shift_of
 
 # Kg CO2e per kWh by energy source, and event severities.
-SOURCE_FACTORS = {"Electricidad": 0.23, "GasNatural": 0.202}
+SOURCE_FACTORS = {"Electricidad": 0.22, "GasNatural": 0.19, "Vapor": 0.24}
 SEVERITY = {"Bajo": 1.0, "Medio": 2.0, "Alto": 3.0, "Critico": 4.0}
 
 
