@@ -217,10 +217,12 @@ def near_value_pairs(
 
 
 def band_stats(
-    df: DataFrame, groups: Sequence[str], value: str, gap: float, sums: Mapping[str, Column], maxima: Mapping[str, Column]
+    df: DataFrame, groups: Sequence[str], value: str, gap: int, sums: Mapping[str, Column], maxima: Mapping[str, Column]
 ) -> DataFrame:
     """Per distinct (group, value): aggregates over all rows of the group within ``gap`` of it.
 
+    ``gap`` is a whole number in the unit of ``value``.
+
     Rows are first combined per distinct value, then every bucket of width ``gap`` receives a
     copy of its two neighbours and the range frame runs inside (group, bucket). No pair is
     formed and a window holds at most the distinct values of three buckets.
@@ -234,7 +236,7 @@ def band_stats(
     spread = grouped.withColumn("__home", home).withColumn(
         "__b", F.explode(F.array(F.col("__home") - 1, F.col("__home"), F.col("__home") + 1))
     )
-    frame = Window.partitionBy(*groups, "__b").orderBy(value).rangeBetween(-gap, gap)
+    frame = Window.partitionBy(*groups, "__b").orderBy(value).rangeBetween(-int(gap), int(gap))
     stats = {n: F.sum(n).over(frame) for n in sums} | {n: F.max(n).over(frame) for n in maxima}
     return (
         spread.select(*groups, value, "__home", "__b", *[c.alias(n) for n, c in stats.items()])

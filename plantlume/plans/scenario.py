@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import finance
 from ..functions.expr import clip, finite_or_zero, flag, half_even, lookup, or_zero, ratio
-from ..operators.joins import band_stats, left_on, one_row, with_table_stats, near_value_pairs
+from ..operators.joins import band_stats, left_on, near_value_pairs, with_table_stats
 from ..operators.ordering import top_per_group, with_position
 from ..operators.tables import keep_matching_or_all, literal_table, stack_rows
 
@@ -57,7 +57,7 @@ EXECUTION_RISK_FACTOR = {"Bajo": 0.92, "Medio": 0.78, "Alto": 0.60}
 UNKNOWN_RISK_FACTOR = 0.72
 CARBON_COST_EUR_TON = 90.0
 LARGE_CAPEX = 700_000.0
-CONFLICT_GAP = 100_000.0
+CONFLICT_GAP = 100_000
 
 
 def scenario_key() -> Column:

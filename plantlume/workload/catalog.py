@@ -42,18 +42,19 @@ for _name in ROLES:
 def with_ctes(text: str) -> str:
     """Prefix ``text`` with the definitions it needs, in dependency order."""
     ordered: list[str] = []
+    open_names: set[str] = set()
 
     def visit(t: str) -> None:
         for word in dict.fromkeys(re.findall(r"[a-z_][a-z0-9_]*", t)):
-            if word in CTES and word not in ordered:
+            if word in CTES and word not in ordered and word not in open_names:
+                open_names.add(word)
                 visit(CTES[word])
-                if word not in ordered:
-                    ordered.append(word)
+                ordered.append(word)
 
     visit(text)
     if not ordered:
         return text
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in ordered) + "\n" + text
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n]})" for n in ordered) + "\n" + text
 
 
 def columns(spec: str, digits: int = DIGITS) -> str:

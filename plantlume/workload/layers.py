@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans import diagnostics, emissions, features, kpis, marts, scenario
+from ..plans import diagnostics, emissions, features, kpis, marts, portfolio, scenario
 from ..session import durable
 from .roles import role
 
@@ -107,3 +107,20 @@ class Layers:
 
     def scenario_comparison(self) -> DataFrame:
         return scenario.initiative_comparison(self.stored("scenario_table"))
+
+    def dependencies(self) -> DataFrame:
+        return scenario.dependencies(self.value_pool())
+
+    def priorities(self) -> DataFrame:
+        return portfolio.priorities(self.stored("opportunity_scores"), self.stored("scenario_table"))
+
+    def budgets(self) -> DataFrame:
+        return portfolio.what_if_budgets(self.spark)
+
+    def selection(self) -> DataFrame:
+        return portfolio.select_portfolio(self.stored("priorities"), self.dependencies(), self.budgets())
+
+    def prioritization(self) -> DataFrame:
+        return portfolio.prioritization(
+            self.stored("priorities"), self.stored("selection"), self.dependencies(), self.budgets()
+        )
