@@ -7,6 +7,8 @@ a constant number of arithmetic operations per row: no month spine, no extra row
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ def _bounded(c: Column, low: Column | int, high: Column | int) -> Column:
     return F.greatest(low, F.least(c, high))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed a single time inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def captured_months(months: ColumnLike, delay: ColumnLike, ramp: ColumnLike) -> Column:
     """Undiscounted capture summed over the first ``months`` months, in full-capture months."""
     m, d, r = (col(x).cast("double") for x in (months, delay, ramp))
@@ -71,12 +78,26 @@ def discounted_payback(
     rate: float = DISCOUNT_RATE,
     months: int = HORIZON_MONTHS,
 ) -> Column:
-    """First month at which the discounted savings repay the investment, 999 if none does."""
-    repaid = F.filter(
-        F.sequence(F.lit(1), F.lit(months)),
-        lambda m: -col(capex) + col(annual) / 12.0 * discounted_months(m, delay, ramp, rate) >= 0,
-    )
-    return F.coalesce(F.try_element_at(repaid, F.lit(1)).cast("double"), F.lit(NO_PAYBACK))
+    """First month at which the discounted savings repay the investment, 999 if none does.
+
+    The running value never falls, so the month is found by halving the horizon.
+    """
+
+    def halve(state: Column, _: Column) -> Column:
+        mid = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
+        repaid = -col(capex) + col(annual) / 12.0 * discounted_months(mid, delay, ramp, rate) >= 0
+        return once(
+            F.struct(mid.alias("m"), repaid.alias("yes")),
+            lambda t: F.struct(
+                F.when(t["yes"], state["lo"]).otherwise(t["m"]).alias("lo"),
+                F.when(t["yes"], t["m"]).otherwise(state["hi"]).alias("hi"),
+            ),
+        )
+
+    steps = (months + 1).bit_length()
+    start = F.struct(F.lit(0).alias("lo"), F.lit(months + 1).alias("hi"))
+    first = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: s["hi"])
+    return F.when(first <= months, first.cast("double")).otherwise(F.lit(NO_PAYBACK))
 
 
 def yearly_flows(
@@ -97,15 +118,15 @@ def yearly_flows(
 
 def present_value(flows: Column, years: int, rate: Column) -> Column:
     """Yearly flows (an array) discounted at ``rate``, by Horner's rule."""
-    x = 1.0 / (1.0 + rate)
+    x = 1.0 + rate
     value = flows[years]
     for year in range(years - 1, -1, -1):
-        value = flows[year] + value * x
+        value = flows[year] + value / x
     return value
 
 
 def internal_rate_pct(
-    flows: Column, years: int, low: float = -0.90, high: float = 3.00, steps: int = 64
+    flows: Column, years: int, low: float = -0.90, high: float = 3.00, steps: int = 52
 ) -> Column:
     """Internal rate of return in percent by bisection, NULL without a sign change.
 
@@ -118,12 +139,13 @@ def internal_rate_pct(
 
     def halve(state: Column, _: Column) -> Column:
         mid = (state["lo"] + state["hi"]) / 2.0
-        at_mid = present_value(flows, years, mid)
-        left = state["at"] * at_mid <= 0
-        return F.struct(
-            F.when(left, state["lo"]).otherwise(mid).alias("lo"),
-            F.when(left, mid).otherwise(state["hi"]).alias("hi"),
-            F.when(left, state["at"]).otherwise(at_mid).alias("at"),
+        return once(
+            F.struct(mid.alias("m"), present_value(flows, years, mid).alias("v")),
+            lambda t: F.struct(
+                F.when(state["at"] * t["v"] <= 0, state["lo"]).otherwise(t["m"]).alias("lo"),
+                F.when(state["at"] * t["v"] <= 0, t["m"]).otherwise(state["hi"]).alias("hi"),
+                F.when(state["at"] * t["v"] <= 0, state["at"]).otherwise(t["v"]).alias("at"),
+            ),
         )
 
     start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"), at_low.alias("at"))
@@ -133,6 +155,36 @@ def internal_rate_pct(
     return F.when(has_loss & has_gain & (at_low * at_high <= 0), root)
 
 
+def investment_rate_pct(
+    flows: Column, years: int, low: float = -0.90, high: float = 3.00, steps: int = 16
+) -> Column:
+    """``internal_rate_pct`` for one investment followed by returns that are not negative.
+
+    In ``x = 1 / (1 + rate)`` the value is an increasing convex polynomial, so Newton's method
+    started right of the root falls onto it monotonically. The start is the smallest ``x`` at
+    which a single year's return alone would repay the investment.
+    """
+    invested = -flows[0]
+    at_low = present_value(flows, years, F.lit(low))
+    at_high = present_value(flows, years, F.lit(high))
+    bounds = [
+        F.when(flows[t] > 0, F.pow(invested / flows[t], F.lit(1.0 / t))) for t in range(1, years + 1)
+    ]
+
+    def newton(x: Column, _: Column) -> Column:
+        value, slope_ = flows[years], F.lit(0.0)
+        for t in range(years - 1, -1, -1):
+            slope_ = slope_ * x + value
+            value = value * x + flows[t]
+        return x - value / slope_
+
+    root = F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps)), F.least(*bounds), newton, lambda x: 100.0 * (1.0 / x - 1.0)
+    )
+    has_gain = F.exists(flows, lambda f: f > 0)
+    return F.when((invested > 0) & has_gain & (at_low * at_high <= 0), root)
+
+
 def simple_payback_months(capex: ColumnLike, annual: ColumnLike, opex: ColumnLike) -> Column:
     """Months to repay from net yearly savings, kept within 2.5 and 180."""
     net = F.greatest(F.lit(1500.0), col(annual) - F.greatest(F.lit(0.0), col(opex)))

@@ -399,7 +399,7 @@ def _with_finance(cube: DataFrame) -> DataFrame:
             ),
         }
     )
-    valued = valued.withColumn("formal_irr_candidate_pct", finance.internal_rate_pct(F.col("__flows"), years))
+    valued = valued.withColumn("formal_irr_candidate_pct", finance.investment_rate_pct(F.col("__flows"), years))
     value, downside = F.col("discounted_value"), F.col("downside_adjusted_value")
     valued = valued.withColumns(
         {

@@ -253,11 +253,11 @@ define(
 )
 define(
     "bisection",
-    f"SELECT *, -0.9::DOUBLE AS lo, 3.0::DOUBLE AS hi, {_pv('-0.9::DOUBLE')} AS at, 0 AS step FROM cube_flows"
+    f"SELECT *, -0.9::DOUBLE AS lo, 3.0::DOUBLE AS hi, {_pv('-0.9::DOUBLE')} AS lo_v, 0 AS step FROM cube_flows"
     f" WHERE capex > 0 AND f1 + f2 + f3 + f4 + f5 + f6 > 0 AND {_pv('-0.9::DOUBLE')} * {_pv('3.0::DOUBLE')} <= 0"
     " UNION ALL SELECT iniciativa_id, macro_scenario, capex, f1, f2, f3, f4, f5, f6,"
-    " CASE WHEN at * mid_v <= 0 THEN lo ELSE mid END, CASE WHEN at * mid_v <= 0 THEN mid ELSE hi END,"
-    " CASE WHEN at * mid_v <= 0 THEN at ELSE mid_v END, step + 1 FROM ("
+    " CASE WHEN lo_v * mid_v <= 0 THEN lo ELSE mid END, CASE WHEN lo_v * mid_v <= 0 THEN mid ELSE hi END,"
+    " CASE WHEN lo_v * mid_v <= 0 THEN lo_v ELSE mid_v END, step + 1 FROM ("
     f" SELECT *, (lo + hi) / 2 AS mid, {_pv('((lo + hi) / 2)')} AS mid_v FROM bisection WHERE step < 64)",
 )
 define(
@@ -626,7 +626,7 @@ def _priority_stability_sql() -> str:
         rows.append(
             f"SELECT '{name}' AS score_name, lm AS legacy_outlier_median_abs_shift,"
             " am AS anchored_outlier_median_abs_shift,"
-            f" (SELECT coalesce(corr(ra, rb), 0) FROM ({ranks})) AS spearman_anchored_vs_legacy,"
+            f" (SELECT CASE WHEN isnan(corr(ra, rb)) THEN 0 ELSE coalesce(corr(ra, rb), 0) END FROM ({ranks})) AS spearman_anchored_vs_legacy,"
             f" ({overlap}) AS top10_overlap_anchored_vs_legacy,"
             f" 'absolute_comparable_inter_release' AS comparability_tag FROM ({shifts})"
         )
