@@ -116,14 +116,21 @@ def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = (), out: str =
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: dict[str, float], keys: Sequence[str] = ()
+    df: DataFrame,
+    value: str,
+    probabilities: dict[str, float],
+    keys: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, per key or for the table.
 
+    ``weight`` names a column that holds how often each row counts.
+
     The built-in ``percentile`` keeps all distinct values of a group in one buffer; here they are
     counted, laid out by range and only the two neighbouring values of each quantile are picked.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    times = F.sum(weight) if weight else F.count("*")
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(times.alias("__n"))
     placed = with_running_sum(counts, {"__upto": F.col("__n")}, [F.col(value).asc()], keys)
     total = placed.groupBy(*keys).agg(F.max("__upto").alias("__total"))
     if keys:
