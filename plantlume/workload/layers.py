@@ -124,3 +124,15 @@ class Layers:
         return portfolio.prioritization(
             self.stored("priorities"), self.stored("selection"), self.dependencies(), self.budgets()
         )
+
+    def scenario_ranking(self) -> DataFrame:
+        return scenario.scenario_ranking(self.scenario_comparison())
+
+    def weight_sensitivity(self) -> DataFrame:
+        return portfolio.weight_sensitivity(self.stored("priorities"))
+
+    def priority_stability(self) -> DataFrame:
+        return portfolio.priority_stability(self.stored("priorities"))
+
+    def ranking_robustness(self) -> DataFrame:
+        return portfolio.ranking_robustness(self.stored("priorities"))
