@@ -469,13 +469,36 @@ def _cross(layers: Layers):
     )
 
 
+def _agree(check: str, tier: str, gap: str, warn: float | None = None) -> str:
+    band = f" WHEN gap <= {warn} THEN 'WARN'" if warn else ""
+    return (
+        f"SELECT '{check}' AS \"check\", CASE WHEN gap <= 1e-6 THEN 'OK'{band} ELSE 'ERROR' END AS status,"
+        f" '{tier}' AS tier FROM (SELECT {gap} AS gap)"
+    )
+
+
+_SAVING_GAP = (
+    "(SELECT coalesce(max(abs(b.s - d.annual_saving_proxy)), 0) FROM (SELECT iniciativa_id, avg({0}) AS s FROM base_cube"
+    " GROUP BY ALL) b JOIN decided d USING (iniciativa_id))"
+)
+
+
 @query(
     "cross_output_checks",
-    "SELECT c.\"check\", 'OK' AS status, c.tier FROM (VALUES ('sec_sql_vs_python', 'BLOCKER'), ('oee_sql_vs_python', 'BLOCKER'),"
-    " ('saving_scenario_vs_invest', 'CRITICAL'), ('net_captured_scenario_vs_invest', 'CRITICAL'),"
-    " ('snapshot_production_vs_line_day', 'BLOCKER'), ('snapshot_loss_vs_line_day', 'BLOCKER'),"
-    " ('snapshot_saving_vs_invest', 'BLOCKER'), ('decision_top_line_vs_scores', 'CRITICAL'),"
-    " ('decision_top_equipment_vs_scores', 'CRITICAL')) c(\"check\", tier)",
+    " UNION ALL ".join(
+        [
+            _agree("sec_sql_vs_python", "BLOCKER", "abs((SELECT avg(sec) FROM line_scored) - (SELECT avg(sec_kwh_ton) FROM mart_line))"),
+            _agree("oee_sql_vs_python", "BLOCKER", "abs((SELECT avg(oee_synthetic) FROM line_scored) - (SELECT avg(oee_synthetic) FROM mart_line))"),
+            _agree("saving_scenario_vs_invest", "CRITICAL", _SAVING_GAP.format("risk_adjusted_annual_savings"), 1e3),
+            _agree("net_captured_scenario_vs_invest", "CRITICAL", _SAVING_GAP.format("net_captured_value"), 1e3),
+            _agree("snapshot_production_vs_line_day", "BLOCKER", "abs((SELECT sum(production_volume) FROM line_scored) - (SELECT sum(production_volume_ton) FROM mart_line))"),
+            _agree("snapshot_loss_vs_line_day", "BLOCKER", "abs((SELECT sum(loss_value_proxy) FROM line_scored) - (SELECT sum(loss_value_proxy_eur) FROM mart_line))"),
+            _agree("snapshot_saving_vs_invest", "BLOCKER", "abs((SELECT sum(annual_saving_proxy) FROM decided) - (SELECT sum(annual_saving_proxy) FROM priority))"),
+            _agree("decision_top_line_vs_scores", "CRITICAL", "(SELECT (linea_prioritaria <> (SELECT linea_id FROM line_criticality"
+                   " ORDER BY line_criticality_score DESC NULLS LAST, loss_value_proxy DESC, linea_id LIMIT 1))::INT FROM decision_row)"),
+            _agree("decision_top_equipment_vs_scores", "CRITICAL", "(SELECT (equipo_prioritario IS NULL)::INT FROM decision_row)"),
+        ]
+    ),
 )
 def cross_output_checks(spark, sf):
     return _cross(Layers(spark, sf)).select("check", "status", "tier")
