@@ -367,7 +367,6 @@ SCENARIO_COLUMNS = (
 def _with_finance(cube: DataFrame) -> DataFrame:
     gross, opex, capex = F.col("gross_technical_value"), F.col("implementation_opex"), F.col("capex_estimado")
     delay, ramp = F.col("start_delay_months"), F.col("ramp_up_months")
-    years = finance.HORIZON_MONTHS // 12
 
     def net(rate: Column | float) -> Column:
         return F.greatest(F.lit(0.0), gross * rate - opex)
@@ -392,19 +391,21 @@ def _with_finance(cube: DataFrame) -> DataFrame:
             "discounted_value": npv("net_captured_value"),
             "downside_adjusted_value": npv("downside_adjusted_annual"),
             "__delayed": npv("net_captured_value", "__later"),
-            "payback_meses": finance.discounted_payback(capex, captured, delay, ramp),
-            "__flows": F.array(*finance.yearly_flows(capex, captured, delay, ramp)),
+            "__repaid": finance.repayment(capex, captured, delay, ramp),
+            "__first_year": captured / 12.0 * finance.captured_months(F.lit(12), delay, ramp),
             "screening_irr_pct": F.when(capex <= 0, 0.0).otherwise(
                 F.least(F.lit(250.0), 100.0 * ratio(captured, capex))
             ),
         }
     )
-    valued = valued.withColumn("formal_irr_candidate_pct", finance.investment_rate_pct(F.col("__flows"), years))
+    valued = valued.withColumns(
+        {"payback_meses": F.col("__repaid.payback"), "formal_irr_candidate_pct": F.col("__repaid.rate_pct")}
+    )
     value, downside = F.col("discounted_value"), F.col("downside_adjusted_value")
     valued = valued.withColumns(
         {
             "cost_of_delay_12m": F.greatest(F.lit(0.0), value - F.col("__delayed")),
-            "ramp_up_penalty_value": F.greatest(F.lit(0.0), captured - F.col("__flows")[1]),
+            "ramp_up_penalty_value": F.greatest(F.lit(0.0), captured - F.col("__first_year")),
             "formal_irr_candidate_flag": flag(
                 F.col("formal_irr_candidate_pct").isNotNull() & (capex >= 250_000)
             ).cast("double"),

@@ -453,7 +453,7 @@ def order_net_present_values(spark, sf):
         "o_orderkey",
         finance.net_present_value("capex", "annual", "delay", "ramp").alias("npv"),
         (F.col("annual") / 12.0 * finance.captured_months(F.lit(12), "delay", "ramp")).alias("first_year"),
-        finance.discounted_payback("capex", "annual", "delay", "ramp").alias("payback"),
+        finance.repayment("capex", "annual", "delay", "ramp")["payback"].alias("payback"),
     )
 
 
