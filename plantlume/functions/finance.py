@@ -91,7 +91,7 @@ def _repayment(months: int, discount: float, rate_range: tuple[float, float], ne
 
         lo, hi = np.zeros(len(c)), np.full(len(c), months + 1.0)
         for _ in range(steps):
-            mid = np.floor((lo + hi) / 2)
+            mid = np.maximum(np.floor((lo + hi) / 2), 1.0)
             repaid = worth(mid) >= 0
             lo, hi = np.where(repaid, lo, mid), np.where(repaid, mid, hi)
         payback = np.where(hi <= months, hi, never)

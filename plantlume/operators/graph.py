@@ -23,28 +23,26 @@ def nodes_of(edges: DataFrame, parent: str, child: str) -> DataFrame:
 def topological_levels(edges: DataFrame, parent: str, child: str) -> DataFrame:
     """Level of every node (0 without parents); nodes on or behind a cycle get NULL.
 
-    A node is placed as soon as its last parent is: the open edges and the unplaced nodes shrink
-    with every step, and equal edges count once.
+    A node is placed as soon as its last parent is. Equal edges count once.
     """
-    open_edges = durable(edges.select(F.col(parent).alias("p"), F.col(child).alias("c")).distinct(), "edges")
-    unplaced = durable(nodes_of(edges, parent, child), "nodes")
-    levels: list[DataFrame] = []
+    links = durable(edges.select(F.col(parent).alias("p"), F.col(child).alias("c")).distinct(), "edges")
+    state = durable(nodes_of(links, "p", "c").withColumn("level", F.lit(None).cast("int")), "levels")
     level = 0
     while True:
-        blocked = open_edges.select(F.col("c").alias("node")).distinct()
-        ready = durable(unplaced.join(blocked, "node", "left_anti"), "ready")
-        if ready.isEmpty():
-            break
-        levels.append(ready.withColumn("level", F.lit(level)))
-        unplaced = durable(unplaced.join(ready, "node", "left_anti"), "nodes")
-        open_edges = durable(
-            open_edges.join(ready.select(F.col("node").alias("p")), "p", "left_anti"), "edges"
+        unplaced = state.where(F.col("level").isNull())
+        waiting = (
+            links.join(unplaced.select(F.col("node").alias("p")), "p", "left_semi")
+            .select(F.col("c").alias("node"))
+            .distinct()
+            .withColumn("__waits", F.lit(1))
+        )
+        placed = F.when(F.col("level").isNull() & F.col("__waits").isNull(), F.lit(level)).otherwise(F.col("level"))
+        state = durable(
+            state.join(waiting, "node", "left").select("node", placed.alias("level")), "levels"
         )
+        if state.where(F.col("level") == level).isEmpty():
+            return state
         level += 1
-    out = unplaced.withColumn("level", F.lit(None).cast("int"))
-    for part in levels:
-        out = out.unionByName(part)
-    return out
 
 
 def cyclic_nodes(edges: DataFrame, parent: str, child: str) -> DataFrame:

@@ -179,27 +179,17 @@ def equipment_day(
     energy: DataFrame, stops: DataFrame, maintenance: DataFrame, deviations: DataFrame, equipment: DataFrame
 ) -> DataFrame:
     """Energy per equipment and day with stops, maintenance, deviations and use relative to type."""
-    daily = (
-        energy.join(
-            equipment.select("equipo_id", "tipo_equipo", "subsistema", "criticidad_equipo", "eficiencia_nominal"),
-            "equipo_id",
-        )
-        .groupBy(
-            day("timestamp").alias("fecha"),
-            "planta_id",
-            "linea_id",
-            "equipo_id",
-            "tipo_equipo",
-            "subsistema",
-            "criticidad_equipo",
-            "eficiencia_nominal",
-        )
-        .agg(
-            F.sum("consumo_kwh").alias("consumo_kwh"),
-            F.avg("factor_carga").alias("factor_carga_prom"),
-            F.sum("coste_energia_proxy").alias("coste_energia_eur"),
-            F.avg("demanda_kw").alias("demanda_kw_media"),
-        )
+    # Reduced to equipment-days before the dimension is joined: a busy equipment is combined on
+    # the map side and the join sees one row per day.
+    measured = energy.groupBy(day("timestamp").alias("fecha"), "planta_id", "linea_id", "equipo_id").agg(
+        F.sum("consumo_kwh").alias("consumo_kwh"),
+        F.avg("factor_carga").alias("factor_carga_prom"),
+        F.sum("coste_energia_proxy").alias("coste_energia_eur"),
+        F.avg("demanda_kw").alias("demanda_kw_media"),
+    )
+    daily = measured.join(
+        equipment.select("equipo_id", "tipo_equipo", "subsistema", "criticidad_equipo", "eficiencia_nominal"),
+        "equipo_id",
     )
     keys = ["fecha", "equipo_id"]
     stop_day = stops_by(stops, day("fecha_inicio").alias("fecha"), "equipo_id").drop("horas_parada_no_plan")
@@ -303,27 +293,23 @@ def mart_line_day(line_hours: DataFrame, lines: DataFrame) -> DataFrame:
     """Daily line performance; rates are averages of the hourly rates."""
     running = F.when(F.col("horas_planificadas") > 0, F.col("horas_operativas") / F.col("horas_planificadas"))
     good = 1.0 - F.col("scrap_pct") / 100.0
-    targets = lines.select("linea_id", "intensidad_energetica_objetivo")
-    return (
-        line_hours.join(targets, "linea_id")
-        .groupBy("fecha", "planta_id", "linea_id", "familia_proceso")
-        .agg(
-            F.sum(or_zero("toneladas_equivalentes_hora")).alias("production_volume_ton"),
-            F.avg("utilization_rate").alias("utilization_rate"),
-            F.avg("sec_kwh_ton").alias("sec_kwh_ton"),
-            F.avg("intensidad_energetica_objetivo").alias("sec_target_kwh_ton"),
-            F.avg("coste_energia_por_unidad").alias("cost_energy_per_unit"),
-            F.sum("coste_energia_eur").alias("cost_energy_total"),
-            F.sum("emisiones_co2e_kg").alias("emissions_kg"),
-            F.avg(running).alias("availability_rate"),
-            F.avg(good).alias("quality_rate_proxy"),
-            F.avg(good * or_zero("utilization_rate") * or_zero(running)).alias("oee_synthetic"),
-            F.sum("n_desvios").alias("n_desvios"),
-            F.sum("n_paradas").alias("n_paradas"),
-            F.sum("horas_parada").alias("horas_parada"),
-            F.sum("perdida_total_proxy_eur").alias("loss_value_proxy_eur"),
-        )
+    targets = lines.select("linea_id", F.col("intensidad_energetica_objetivo").alias("sec_target_kwh_ton"))
+    daily = line_hours.groupBy("fecha", "planta_id", "linea_id", "familia_proceso").agg(
+        F.sum(or_zero("toneladas_equivalentes_hora")).alias("production_volume_ton"),
+        F.avg("utilization_rate").alias("utilization_rate"),
+        F.avg("sec_kwh_ton").alias("sec_kwh_ton"),
+        F.avg("coste_energia_por_unidad").alias("cost_energy_per_unit"),
+        F.sum("coste_energia_eur").alias("cost_energy_total"),
+        F.sum("emisiones_co2e_kg").alias("emissions_kg"),
+        F.avg(running).alias("availability_rate"),
+        F.avg(good).alias("quality_rate_proxy"),
+        F.avg(good * or_zero("utilization_rate") * or_zero(running)).alias("oee_synthetic"),
+        F.sum("n_desvios").alias("n_desvios"),
+        F.sum("n_paradas").alias("n_paradas"),
+        F.sum("horas_parada").alias("horas_parada"),
+        F.sum("perdida_total_proxy_eur").alias("loss_value_proxy_eur"),
     )
+    return daily.join(targets, "linea_id")
 
 
 def line_energy_performance(line_days: DataFrame) -> DataFrame:
