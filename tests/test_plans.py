@@ -26,7 +26,9 @@ def test_value_chain_and_bounds(layers):
         " OR isnan(discounted_value) OR discounted_value IS NULL"
     )
     assert bad.count() == 0
-    assert s.count() == layers.role("iniciativas_mejora").count() * 4
+    lines = layers.line_baseline().select("linea_id")
+    covered = layers.role("iniciativas_mejora").join(lines, "linea_id", "left_semi")
+    assert s.count() == covered.count() * 4
     ratio = s.groupBy("iniciativa_id").pivot("macro_scenario", ["Base", "ShockEnergia"]).agg(F.avg("gross_technical_value_energy"))
     assert ratio.select(F.median(F.col("ShockEnergia") / F.col("Base"))).first()[0] > 1.05
 

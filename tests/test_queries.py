@@ -1,4 +1,4 @@
-"""Registered queries against their SQL on the smallest tables (``ALL_QUERIES=1`` runs every one)."""
+"""Registered queries against their SQL on the driver tables (``ALL_QUERIES=1`` runs every one)."""
 
 import os
 
@@ -20,6 +20,14 @@ QUICK = (
 NAMES = sorted(ORACLES) if os.environ.get("ALL_QUERIES") else QUICK
 
 
+@pytest.fixture(scope="module")
+def sf_dir():
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("driver tables not available")
+    return path
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     c = duckdb.connect()
