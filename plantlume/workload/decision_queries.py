@@ -587,11 +587,12 @@ def _sensitivity_sql() -> str:
     )
 
 
-@query("weight_sensitivity", _sensitivity_sql())
+define("sensitivity_row", _sensitivity_sql())
+
+
+@query("weight_sensitivity", "SELECT * FROM sensitivity_row")
 def weight_sensitivity(spark, sf):
-    scored = Layers(spark, sf).stored("priorities")
-    stacked = portfolio.weight_sensitivity(scored)
-    return stacked
+    return portfolio.weight_sensitivity(Layers(spark, sf).stored("priorities"))
 
 
 def _legacy(expr_by_name: dict[str, tuple[str, bool]]) -> str:
@@ -638,12 +639,51 @@ def _priority_stability_sql() -> str:
     )
 
 
-@query("priority_stability", _priority_stability_sql(), digits=3)
+define("stability_row", _priority_stability_sql())
+
+
+@query("priority_stability", "SELECT * FROM stability_row", digits=3)
 def priority_stability(spark, sf):
     return portfolio.priority_stability(Layers(spark, sf).stored("priorities"))
 
 
-@query("ranking_robustness")
+_PEAK = "coalesce(net_captured_value_base, annual_saving_declared)"
+define(
+    "shocked",
+    f"SELECT *, CASE WHEN row_number() OVER (ORDER BY {_PEAK} DESC NULLS LAST, iniciativa_id) = 1 THEN 3 ELSE 1 END"
+    f" * {_PEAK} AS moved FROM priority",
+)
+define(
+    "shocked_index",
+    "SELECT iniciativa_id, improvement_priority_index AS a, improvement_priority_index - 0.2 * energy_saving_score + 20 * ("
+    + anc("moved", 150000, 1100000) + ") AS a2, least(100, greatest(0, " + _legacy(_RAW) + ")) AS g, least(100, greatest(0, "
+    + _legacy({**_RAW, "energy_saving_score": ("moved", False)}) + ")) AS g2 FROM shocked",
+)
+
+
+def _common(x: str, y: str) -> str:
+    return (
+        f"(SELECT count(*) FROM (SELECT iniciativa_id FROM shocked_index ORDER BY {x} DESC, iniciativa_id LIMIT 10) m"
+        f" JOIN (SELECT iniciativa_id FROM shocked_index ORDER BY {y} DESC, iniciativa_id LIMIT 10) n USING (iniciativa_id))"
+    )
+
+
+define(
+    "robustness_row",
+    f"SELECT 'improvement_priority_index' AS score_name, {_common('g', 'g2')} AS legacy_top10_overlap_after_outlier,"
+    f" {_common('a', 'a2')} AS anchored_top10_overlap_after_outlier, (SELECT corr(ra, rb) FROM ("
+    + avg_rank_sql("round(a, 7)", "(" + avg_rank_sql("round(g, 7)", "shocked_index", "ra") + ")", "rb")
+    + ")) AS legacy_vs_anchored_spearman",
+)
+
+
+@query(
+    "ranking_robustness",
+    final(
+        "robustness_row",
+        "score_name legacy_top10_overlap_after_outlier anchored_top10_overlap_after_outlier legacy_vs_anchored_spearman~",
+    ),
+)
 def ranking_robustness(spark, sf):
     return portfolio.ranking_robustness(Layers(spark, sf).stored("priorities"))
 

@@ -393,7 +393,29 @@ def _analytical(layers: Layers):
     )
 
 
-@query("analytical_checks")
+@query(
+    "analytical_checks",
+    " UNION ALL ".join(
+        [
+            _recorded("analytical validity", "sec_range", "CRITICAL", "v = 0", "v",
+                      "SELECT count(*) FILTER (WHERE sec < 50 OR sec > 3000) AS v FROM line_scored"),
+            _recorded("analytical validity", "oee_range", "CRITICAL", "v = 0", "v",
+                      "SELECT count(*) FILTER (WHERE oee_synthetic < 0 OR oee_synthetic > 1.2) AS v FROM line_scored"),
+            _recorded("analytical validity", "priority_formula_alignment", "CRITICAL", "v <= 1e-8", "round(v, 6)",
+                      "SELECT max(abs(" + " + ".join(f"{w}::DOUBLE * {n}" for n, w in portfolio.PRIORITY_WEIGHTS.items())
+                      + " - improvement_priority_index)) AS v FROM priority"),
+            _recorded("analytical validity", "score_stability_sensitivity_overlap", "HIGH", "v >= 0.7", "v",
+                      "SELECT count(*) / 10 AS v FROM sensitivity_row a JOIN sensitivity_row b USING (iniciativa_id)"
+                      " WHERE a.scenario = 'base' AND b.scenario = 'energia_alta' AND a.ranking <= 10 AND b.ranking <= 10", "v >= 0.5"),
+            _recorded("analytical validity", "anchored_outlier_stability_vs_legacy", "HIGH", "v = 0", "v",
+                      "SELECT count(*) FILTER (WHERE anchored_outlier_median_abs_shift > legacy_outlier_median_abs_shift + 1e-9) AS v"
+                      " FROM stability_row", "v > 0"),
+            _recorded("analytical validity", "anchored_ranking_robustness_vs_legacy", "HIGH", "v = 0", "v",
+                      "SELECT count(*) FILTER (WHERE anchored_top10_overlap_after_outlier < legacy_top10_overlap_after_outlier) AS v"
+                      " FROM robustness_row", "v > 0"),
+        ]
+    ),
+)
 def analytical_checks(spark, sf):
     return _analytical(Layers(spark, sf)).select(*_CHECK_OUT)
 
@@ -778,11 +800,28 @@ def _trace(layers: Layers):
     )
 
 
-@query("dominant_drivers_and_decision_lineage")
-def dominant_drivers_and_decision_lineage(spark, sf):
-    trace = _trace(Layers(spark, sf))
-    drivers = trace.select("recommendation_id", "dominant_drivers")
-    return lineage.decision_lineage(trace).join(drivers, "recommendation_id")
+@query(
+    "decision_lineage",
+    final(
+        "(SELECT 'DEC_' || d.iniciativa_id AS decision_id, d.iniciativa_id AS recommendation_id, d.selected_portfolio_flag AS selected_flag,"
+        " d.decision_rule AS decision_output, '" + ";".join(_SCORES) + "' AS upstream_scores,"
+        " 'dependency_penalty=' || printf('%.2f', b.dependency_penalty_pct) || ';conflict_penalty=' || printf('%.2f', b.conflict_penalty_pct)"
+        " || ';constraint_reason=' || d.portfolio_constraint_reason AS constraints_applied, 'Base' AS scenario_reference,"
+        " d.portfolio_npv_contribution AS objective_contribution, 'none' AS caveat_codes FROM decided d JOIN base_cube b USING (iniciativa_id))",
+        "decision_id recommendation_id selected_flag decision_output upstream_scores constraints_applied scenario_reference"
+        " objective_contribution~ caveat_codes",
+        3,
+    ),
+    digits=3,
+)
+def decision_lineage(spark, sf):
+    return lineage.decision_lineage(_trace(Layers(spark, sf)))
+
+
+@query("dominant_drivers")
+def dominant_drivers(spark, sf):
+    """Leading components as text; number formatting differs between engines, so rows only."""
+    return _trace(Layers(spark, sf)).select("recommendation_id", "dominant_drivers")
 
 
 @query("content_versions")

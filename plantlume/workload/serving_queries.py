@@ -518,7 +518,16 @@ def equipment_heatmap(spark, sf):
     return serving.equipment_heatmap(Layers(spark, sf).stored("equipment_scores"))
 
 
-@query("ranking_sensitivity_of_leaders")
+@query(
+    "ranking_sensitivity_of_leaders",
+    final(
+        "(SELECT iniciativa_id, avg(ranking) FILTER (WHERE scenario = 'energia_alta') AS energia_alta,"
+        " avg(ranking) FILTER (WHERE scenario = 'operacion_critica') AS operacion_critica FROM sensitivity_row"
+        " WHERE iniciativa_id IN (SELECT iniciativa_id FROM decided ORDER BY portfolio_objective_score DESC,"
+        " improvement_priority_index DESC, iniciativa_id LIMIT 10) GROUP BY ALL)",
+        "iniciativa_id energia_alta~ operacion_critica~",
+    ),
+)
 def ranking_sensitivity_of_leaders(spark, sf):
     layers = Layers(spark, sf)
     alternatives = [s for s in portfolio.WEIGHT_SCENARIOS if s != "base"]
