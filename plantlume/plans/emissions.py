@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import clip, day, hour_start, lookup, shift_day, shift_of
+from ..functions.expr import clip, hour_start, lookup, shift_day, shift_of
 
 # Kg CO2e per kWh by energy source, and event severities.
 SOURCE_FACTORS = {"Electricidad": 0.22, "GasNatural": 0.19, "Vapor": 0.24}

@@ -325,9 +325,9 @@ SCENARIO = " ".join(c if c in _TEXT else c + "~" for c in scenario.SCENARIO_COLU
         " CASE financial_maturity_stage WHEN 'business_case_candidate' THEN 'candidate_with_caveat'"
         " ELSE 'not_committee_grade_proxy' END AS committee_wording_status FROM scenario_cube)",
         SCENARIO,
-        3,
+        2,
     ),
-    digits=3,
+    digits=2,
 )
 def scenario_table(spark, sf):
     return Layers(spark, sf).scenario_table()

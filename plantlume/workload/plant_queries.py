@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.expr import day, hour_start, shift_of
 from ..operators.joins import fill_hours, overlap_by_hour, overlap_by_shift
 from ..plans import emissions, kpis, marts
 from .catalog import define, final, query
