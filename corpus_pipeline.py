@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plantlume.llm import decontaminate, exact_dedup, mixing, toxicity
+from plantlume.llm import decontaminate, exact_dedup, mixing, ngram_join, toxicity
 from plantlume.llm.common import stored, table
 
 
@@ -18,6 +18,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.deduplicate(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that with the smallest id."""
+    return ngram_join.deduplicate_near(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more of the words are test passages go."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -31,6 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
     ("mixing", mix_sources),
 ]

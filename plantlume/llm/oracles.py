@@ -66,6 +66,31 @@ SELECT q.doc_id, q.size, q.source_size::BIGINT AS source_size, q.target, coalesc
 FROM queued q LEFT JOIN taken t ON q.doc_id = t.doc_id AND q.source IS NOT DISTINCT FROM t.source
 """
 
+# Pairs come from all shingles here, not from a prefix; groups of repeated texts are joined by their least id first.
+OP6 = f"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents
+),
+shingled AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+    ELSE list_distinct([w[i : i + 4] FOR i IN range(1, len(w) - 3)]) END AS s
+  FROM doc
+),
+sizes AS (SELECT doc_id, list_sort(s) AS s, len(s)::BIGINT AS n FROM shingled),
+same AS (SELECT s, n, min(doc_id) AS rep FROM sizes WHERE n > 0 GROUP BY s, n),
+term AS (SELECT rep, n, unnest(s) AS g FROM same),
+pair AS (
+  SELECT x.rep AS a, y.rep AS b FROM term x JOIN term y ON x.g = y.g AND x.rep < y.rep
+  WHERE 100 * least(x.n, y.n) >= 75 * greatest(x.n, y.n)
+  GROUP BY x.rep, y.rep, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+),
+edge AS (SELECT a, b FROM pair UNION SELECT b, a FROM pair),
+reach AS (SELECT rep AS a, rep AS b FROM same UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+label AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, d.n AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id
+FROM sizes d LEFT JOIN same USING (s, n) LEFT JOIN label l ON l.a = same.rep
+"""
+
 OP8 = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS c FROM documents
@@ -74,4 +99,4 @@ best AS (SELECT c, count(*) AS group_size, arg_min(doc_id, (-chars, doc_id)) AS
 SELECT d.doc_id, keep_id, group_size, d.doc_id = keep_id AS kept, sha256(c) AS text_sha256 FROM d JOIN best USING (c)
 """
 
-ORACLES = {"op2_benchmark_decontamination": OP2, "op3_mixing": OP3, "op8_exact_dedup": OP8}
+ORACLES = {"op2_benchmark_decontamination": OP2, "op3_mixing": OP3, "op6_ngram_jaccard": OP6, "op8_exact_dedup": OP8}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, mixing, toxicity
+from . import decontaminate, exact_dedup, language, mixing, ngram_join, suffix_dedup, toxicity
 from .common import table
 
 
@@ -42,11 +42,21 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["first"])
+    return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_benchmark_decontamination, op3_mixing, op4_language_id, op5_toxicity, op8_exact_dedup)
+    for f in (op2_benchmark_decontamination, op3_mixing, op4_language_id, op5_toxicity, op6_ngram_jaccard, op8_exact_dedup, op9_suffix_dedup)
 }
