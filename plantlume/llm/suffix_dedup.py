@@ -9,13 +9,13 @@ occurrences of a string together:
   anchor form a run.
 * Runs are grouped by anchor. Runs with equal bytes are repeated whole and stand for each other;
   anchors with one run are done.
-* Anchors with several different runs go on with one copy of each: these are laid end to end, put
+* Anchors with several different runs go on with the first run of each kind: these are laid end to end, put
   into suffix order by prefix doubling, and the nearest smaller and greater positions on both
   sides of a suffix give its longest previous and longest next factor. A window whose factor
   reaches ``length`` occurs before, or behind.
 
-Groups meet by a shuffle on the anchor. Which anchors have several different runs is told to the
-second scan by a bit table of fixed size; a bit set by chance costs a few rows and changes nothing.
+Groups meet by a shuffle on the anchor. Which runs go on is told to the second scan by a bit table
+of fixed size; a bit set by chance costs a few rows and changes nothing.
 """
 
 from __future__ import annotations
@@ -33,8 +33,8 @@ from .common import Batches, arrow_map, arrow_type, stored
 
 LENGTH = 200
 GRAM = 32
-SCAN_BYTES = 1 << 20
-SUFFIX_BYTES = 512 << 10
+SCAN_BYTES = 128 << 10  # arrays of a scan stay in the processor's cache
+SUFFIX_BYTES = 128 << 10
 FILTER_BITS = 26  # 8 MB, whatever the input
 
 _B = 0x9E3779B97F4A7C15
@@ -234,19 +234,27 @@ def _scan_runs(batches: Batches, schema: pa.Schema, length: int) -> Batches:
         )
 
 
-_GROUPED = _RUNS + ", whole boolean, leads boolean"
+_GROUPED = _RUNS + ", whole boolean, leads boolean, wants array<long>, row_key long"
+
+
+def run_key(print_: np.ndarray, row: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """What marks a run in the bit table."""
+    place = mix64(row.view(np.uint64) * np.uint64(_B) + first.astype(np.int64).view(np.uint64))
+    return mix64(print_.view(np.uint64) ^ place)
 
 
 def _groups(batches: Batches, schema: pa.Schema) -> Batches:
     """Of runs sorted by anchor, print and place: those whose anchor has others.
 
-    ``whole``: there is another run with the same print; ``leads``: it is the first of its print.
-    Only a row's neighbours matter, so one row is held back between batches.
+    ``whole``: there is another run with the same print; ``leads``: it is the first of its print;
+    ``wants``: keys of the leading runs known from here to belong to an anchor of several prints,
+    its own, and at the second print that of the first. Only a row's neighbours and the first key
+    of the anchor matter, so one row is held back between batches.
     """
-    held, before = None, None
+    held, before, opening = None, None, None  # opening: key of the first run of the anchor at hand
 
-    def judged(rows, behind) -> pa.RecordBatch | None:
-        nonlocal before
+    def judged(rows, behind) -> pa.RecordBatch:
+        nonlocal before, opening
         anchor = np.concatenate([[before[0] if before else 0], rows[0], [behind[0] if behind else 0]])
         print_ = np.concatenate([[before[1] if before else 0], rows[1], [behind[1] if behind else 0]])
         same_a, same_p = anchor[1:] == anchor[:-1], (anchor[1:] == anchor[:-1]) & (print_[1:] == print_[:-1])
@@ -256,8 +264,22 @@ def _groups(batches: Batches, schema: pa.Schema) -> Batches:
             same_a[-1] = same_p[-1] = False
         keep = same_a[:-1] | same_a[1:]
         whole, leads = same_p[:-1] | same_p[1:], ~same_p[:-1]
+        keys = run_key(rows[1], rows[2], rows[3]).view(np.int64)
+        opens = ~same_a[:-1]
+        later = np.flatnonzero(leads & ~opens)  # leaders of the second print and on
+        nearest = np.maximum.accumulate(np.where(opens, np.arange(len(opens)), -1))
+        wants = [None] * len(keys)
+        for k, o in zip(later.tolist(), nearest[later].tolist()):
+            wants[k] = [int(keys[k]), int(keys[o]) if o >= 0 else opening]
         before = (rows[0][-1], rows[1][-1])
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (*rows, whole, leads)], schema=schema)
+        if nearest[-1] >= 0:
+            opening = int(keys[nearest[-1]])
+        at = np.flatnonzero(keep)
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(c[at]) for c in (*rows, whole, leads)), pa.array([wants[k] for k in at.tolist()], pa.list_(pa.int64())),
+             pa.array(mix64(rows[2][at].view(np.uint64)).view(np.int64))],
+            schema=schema,
+        )
 
     for batch in batches:
         if not batch.num_rows:
@@ -275,29 +297,39 @@ def _groups(batches: Batches, schema: pa.Schema) -> Batches:
 _CONTEXTS = "anchor long, print long, row long, first int, content binary"
 
 
-def _bit(anchor: np.ndarray) -> np.ndarray:
-    return (anchor >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+def _bits_of(keys: np.ndarray) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
 
-def _scan_contexts(batches: Batches, schema: pa.Schema, wanted, hot, length: int) -> Batches:
-    """Bytes of the runs whose anchor may have several prints; once per print and task, hot anchors apart."""
-    bits, hot, anchors, seen = np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little"), hot.value, Anchors(length), set()
-    for rows, texts in _chunks(batches):
+def _has(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = _bits_of(keys)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _only(chunks, bits: np.ndarray):
+    """Chunks without the rows that are not in the bit table of rows."""
+    for rows, texts in chunks:
+        some = np.flatnonzero(_has(bits, mix64(rows.view(np.uint64))))
+        if len(some):
+            yield rows[some], [texts[k] for k in some.tolist()]
+
+
+def _scan_contexts(batches: Batches, schema: pa.Schema, wanted, wanted_rows, hot, length: int) -> Batches:
+    """Bytes of the leading runs at anchors of several prints; hot anchors are left out."""
+    bits, row_bits = (np.frombuffer(b.value, np.uint8) for b in (wanted, wanted_rows))
+    hot, anchors = hot.value, Anchors(length)
+    for rows, texts in _only(_chunks(batches), row_bits):
         owner, anchor, print_, first, last, _, raw, begins = anchors.runs(texts)
-        pick = np.flatnonzero(bits[_bit(anchor)]) if len(anchor) else ()
-        pick = [k for k in pick if not len(hot) or not _among(anchor[k : k + 1], hot)[0]]
-        fresh = []
-        for k, key in zip(pick, zip(anchor[pick].tolist(), print_[pick].tolist()) if len(pick) else ()):
-            if key not in seen:
-                seen.add(key)
-                fresh.append(k)
-        if len(seen) > 300_000:
-            seen.clear()
-        if fresh:
-            k = np.array(fresh)
+        if not len(anchor):
+            continue
+        row, place = rows[owner], (first - begins[owner]).astype(np.int32)
+        pick = _has(bits, run_key(print_, row, place))
+        if len(hot):
+            pick &= ~_among(anchor, hot)
+        k = np.flatnonzero(pick)
+        if len(k):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[k].view(np.int64)), pa.array(print_[k].view(np.int64)), pa.array(rows[owner[k]]),
-                 pa.array((first[k] - begins[owner[k]]).astype(np.int32)),
+                [pa.array(anchor[k].view(np.int64)), pa.array(print_[k].view(np.int64)), pa.array(row[k]), pa.array(place[k]),
                  pa.array([raw[a : b + length].tobytes() for a, b in zip(first[k].tolist(), last[k].tolist())], pa.binary())],
                 schema=schema,
             )
@@ -310,10 +342,10 @@ def _among(anchor: np.ndarray, hot: np.ndarray) -> np.ndarray:
 _WINDOWS = "anchor long, print long, row long, first int, at int, window long"
 
 
-def _scan_windows(batches: Batches, schema: pa.Schema, hot, length: int) -> Batches:
+def _scan_windows(batches: Batches, schema: pa.Schema, hot, hot_rows, length: int) -> Batches:
     """A hash of every window of the runs at hot anchors."""
-    hot, anchors = hot.value, Anchors(length)
-    for rows, texts in _chunks(batches):
+    hot, anchors, row_bits = hot.value, Anchors(length), np.frombuffer(hot_rows.value, np.uint8)
+    for rows, texts in _only(_chunks(batches), row_bits):
         owner, anchor, print_, first, last, _, raw, begins = anchors.runs(texts)
         k = np.flatnonzero(_among(anchor, hot)) if len(anchor) else np.empty(0, np.int64)
         if not len(k):
@@ -414,30 +446,21 @@ def _spans(numbered: DataFrame, length: int, keep: str, hot_prints: int, most_ho
     laid = runs.repartition("anchor").sortWithinPartitions("anchor", "print", "row", "first")
     grouped = stored(arrow_map(laid, partial(_groups, schema=schema), kind), "suffix-groups")
 
-    # Anchors with several prints: a bit each, as 2048 bitmaps of 4 KB.
-    odd = grouped.where(~F.col("whole"))
-    place = F.shiftrightunsigned("anchor", 64 - FILTER_BITS) + 1
-    bitmaps = odd.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("k")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
-    )
-    wanted = bytearray((1 << FILTER_BITS) // 8)
-    for r in bitmaps.toLocalIterator():
-        wanted[(r["k"] - 1) * 4096 : r["k"] * 4096] = r["bits"]
-    hot = (
-        odd.groupBy("anchor").count().where(F.col("count") > hot_prints).orderBy(F.col("count").desc(), "anchor").limit(most_hot)
-    )
+    odd = grouped.where(F.col("wants").isNotNull()).select("anchor", "row", F.explode("wants").alias("key"))
+    hot = odd.groupBy("anchor").count().where(F.col("count") > hot_prints).orderBy(F.col("count").desc(), "anchor").limit(most_hot)
     hot = np.sort(np.array([r["anchor"] for r in hot.collect()], np.int64).view(np.uint64))
 
     context_kind, context_schema = _arrow(_CONTEXTS)
     hit_kind, hit_schema = _arrow(_HITS)
     shared_hot = share(hot)
-    contexts = arrow_map(
-        texts, partial(_scan_contexts, schema=context_schema, wanted=share(bytes(wanted)), hot=shared_hot, length=length), context_kind
-    )
-    laid = contexts.repartition("anchor").sortWithinPartitions("anchor", "print", "row", "first")
+    wanted, wanted_rows = share(_bit_table(odd, F.col("key"))), share(_bit_table(grouped.where("leads"), F.col("row_key")))
+    scan = partial(_scan_contexts, schema=context_schema, wanted=wanted, wanted_rows=wanted_rows, hot=shared_hot, length=length)
+    laid = arrow_map(texts, scan, context_kind).repartition("anchor").sortWithinPartitions("anchor", "print", "row", "first")
     hits = arrow_map(laid, partial(_match, schema=hit_schema, length=length), hit_kind)
     if len(hot):
-        hits = hits.unionByName(_hot_hits(texts, shared_hot, length))
+        names = spark.createDataFrame([(int(x),) for x in hot.view(np.int64)], "anchor long")
+        hot_rows = share(_bit_table(grouped.join(F.broadcast(names), "anchor"), F.col("row_key")))
+        hits = hits.unionByName(_hot_hits(texts, shared_hot, hot_rows, length))
     hits = stored(hits, "suffix-hits")
 
     field = "other" if keep == "none" else "earlier"
@@ -450,11 +473,24 @@ def _spans(numbered: DataFrame, length: int, keep: str, hot_prints: int, most_ho
     return full.unionByName(part).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans"))
 
 
-def _hot_hits(texts: DataFrame, hot, length: int) -> DataFrame:
+def _bit_table(df: DataFrame, key: F.Column) -> bytes:
+    """Bits of the leading ``FILTER_BITS`` bits of the keys, gathered as 2048 bitmaps of 4 KB."""
+    place = F.shiftrightunsigned(key, 64 - FILTER_BITS) + 1
+    bitmaps = df.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("k")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")
+    )
+    table = bytearray((1 << FILTER_BITS) // 8)
+    for r in bitmaps.toLocalIterator():
+        table[(r["k"] - 1) * 4096 : r["k"] * 4096] = r["bits"]
+    return bytes(table)
+
+
+def _hot_hits(texts: DataFrame, hot, hot_rows, length: int) -> DataFrame:
     """The same for anchors with very many prints: windows are counted by hash, in as many tasks as it takes."""
     kind, schema = _arrow(_WINDOWS)
-    windows = arrow_map(texts, partial(_scan_windows, schema=schema, hot=hot, length=length), kind)
+    windows = arrow_map(texts, partial(_scan_windows, schema=schema, hot=hot, hot_rows=hot_rows, length=length), kind)
     by_print = windows.groupBy("anchor", "window", "print", "at").agg(F.min(F.struct("row", "first")).alias("place"))
+    by_print = stored(by_print, "suffix-windows")
     # one row per window and print, so a hash shared by all prints is still counted in parts first
     counted = stored(
         by_print.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first_place")).where(F.col("n") > 1),
