@@ -21,6 +21,7 @@ Both are exact; the order of the shingles and the chunks only affect speed.
 from __future__ import annotations
 
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ from .components import connected
 
 WORDS = 5
 PERCENT = 75
-GROUPS = 64
+GROUPS = 64  # of the trees over chunks, where a set is at hand to verify
+FINE_GROUPS = 512  # of the points in prefix buckets, whose pairs must fetch their texts to be verified
 LEAF = 16
 CHUNK_TEXTS, CHUNK_BYTES = 4096, 24 << 20
 HEAVY_FROM, HEAVY_MOST = 20, 1_000_000  # widely shared shingles known to all tasks: 8 MB at most
@@ -52,11 +54,17 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+class WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Sorted distinct shingle hashes of texts; hashes of words are kept between calls."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.cache = words, {}
+        self.words, self.cache = words, WordHashes()
 
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
         k = self.words
@@ -64,12 +72,9 @@ class Shingler:
         cache = self.cache
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        for w in set().union(*split) - cache.keys() if split else ():
-            cache[w] = xxhash.xxh3_64_intdigest(w)
-        find = cache.__getitem__
-        counts = np.array([len(s) for s in split], np.int64)
+        counts = np.fromiter(map(len, split), np.int64, len(split))
         ends = np.cumsum(counts)
-        hashes = np.fromiter((find(w) for s in split for w in s), np.uint64, int(ends[-1]) if len(ends) else 0)
+        hashes = np.fromiter(map(cache.__getitem__, chain.from_iterable(split)), np.uint64, int(ends[-1]) if len(ends) else 0)
         rolled = np.zeros(max(0, len(hashes) - k + 1), np.uint64)
         for i in range(k):
             rolled = rolled * _B + hashes[i : i + len(rolled)]
@@ -90,10 +95,10 @@ class Shingler:
         return out
 
 
-def counts_of(s: np.ndarray) -> np.ndarray:
-    """Shingles per group; a set too large for the counters is the largest point, which prunes nothing."""
-    c = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
-    return c.astype(np.uint16) if c.max(initial=0) < 65536 else np.full(GROUPS, 65535, np.uint16)
+def counts_of(s: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    """Shingles per group in a byte each; a set too large for that is the largest point, which prunes nothing."""
+    c = np.bincount((s >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups)
+    return c.astype(np.uint8) if c.max(initial=0) < 256 else np.full(groups, 255, np.uint8)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -149,10 +154,11 @@ class Tree:
         return i[ok], kids[ok]
 
 
-def _bounds(points: np.ndarray, i: np.ndarray, corners: np.ndarray, j: np.ndarray, step: int = 65536) -> np.ndarray:
+def _bounds(points: np.ndarray, i: np.ndarray, corners: np.ndarray, j: np.ndarray, step: int = 8192) -> np.ndarray:
     out = np.empty(len(i), np.int64)
     for s in range(0, len(i), step):
-        out[s : s + step] = np.minimum(points[i[s : s + step]], corners[j[s : s + step]]).sum(1, dtype=np.int64)
+        out[s : s + step] = np.minimum(points[i[s : s + step]], corners[j[s : s + step]]).sum(1, dtype=np.uint32)
+    out[out == 255 * points.shape[1]] = 1 << 40  # two sets too large for the counters
     return out
 
 
@@ -223,8 +229,14 @@ def _roots(batches: Batches, schema: pa.Schema, words: int, percent: int) -> Bat
     nodes, checks, texts, sets, held = [], [], [], [], 0
 
     def done() -> pa.RecordBatch:
-        points = np.array([counts_of(s) for s in sets])
-        parent = link_chunk(sets, points, percent)
+        # neighbours in size and, among those, in the order of the least hashes share a leaf
+        sizes = np.array([len(s) for s in sets])
+        by_size = np.argsort(np.floor(np.log(sizes) / np.log(1.15)), kind="stable")
+        place = np.empty_like(by_size)
+        place[by_size] = np.arange(len(sets))
+        label = link_chunk([sets[k] for k in by_size], np.array([counts_of(sets[k]) for k in by_size]), percent)
+        parent = by_size[label][place]
+        points = [counts_of(s, FINE_GROUPS) for s in sets]
         idx = np.array(row_numbers(made, len(sets)), np.int64)
         # shingles of different roots of this chunk
         flat = np.concatenate(sets)
@@ -392,7 +404,7 @@ def _bucket_pairs(batches: Batches, schema: pa.Schema, percent: int, best_only:
         if not batch.num_rows:
             continue
         h = batch.column("hash").to_numpy()
-        points = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.uint16).reshape(len(h), GROUPS)
+        points = np.frombuffer(b"".join(batch.column("counts").to_pylist()), np.uint8).reshape(len(h), FINE_GROUPS)
         rows = (*(batch.column(c).to_numpy() for c in ("idx", "root", "n")), points)
         cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         ends = np.append(cuts[1:], len(h))
