@@ -6,7 +6,7 @@ fitted together in numpy on a bounded sample of labelled texts. A misspelled wor
 its n-grams and so most of its vector.
 
 Averages are linear: with the model fitted, every table row has one number, its embedding times
-the difference of the two softmax columns, and a text's log odds are the mean of its words'.
+the difference of the two softmax columns, and a text's log odds are the mean of its words' (a few neutral ones included) and the bias.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from .common import Batches, arrow_map, arrow_type
 BUCKETS = 1 << 17
 DIM = 8
 GRAMS = (3, 4, 5)
+PADDING = 10  # neutral words averaged into every text, so that one odd word can't decide a short one
 GAIN = 40.0  # a few words in a hundred decide: averages are scaled up before the softmax
-MAX_SAMPLE = 6000  # labelled texts fitted on, half of them of either label where there are enough
+MAX_SAMPLE = 5000  # labelled texts fitted on, half of them of either label where there are enough
 CACHE_WORDS = 200_000
 EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -61,7 +62,7 @@ def bag(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(owners, kind="stable")
     rows = ((rows ^ (rows >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)
     counts = np.bincount(owners, minlength=len(bare))
-    return (rows[order] % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([[0], np.cumsum(counts)[:-1]])
+    return (rows[order] % np.uint64(BUCKETS)).astype(np.int32), np.concatenate([[0], np.cumsum(counts)[:-1]])
 
 
 @dataclass
@@ -77,7 +78,7 @@ class Model:
         return sums / np.diff(np.append(starts, len(rows)))
 
     def odds(self, texts: list[str]) -> np.ndarray:
-        return np.array([self.bias + (self.words(w).mean() if (w := words_of(t)) else 0.0) for t in texts])
+        return np.array([self.bias + (self.words(w).sum() / (len(w) + PADDING) if (w := words_of(t)) else 0.0) for t in texts])
 
 
 def train(
@@ -98,9 +99,14 @@ def train(
     docs = []
     for t in texts:
         ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)]
-        docs.append(np.unique(np.array(ids, np.int64), return_counts=True))
-    rows, starts = bag(list(vocabulary) or ["-"])
-    sizes = np.diff(np.append(starts, len(rows)))
+        docs.append(np.unique(np.array(ids, np.int32), return_counts=True))
+    words = list(vocabulary) or ["-"]
+    vocabulary.clear()
+    bags = [bag(words[i : i + 10_000]) for i in range(0, len(words), 10_000)]
+    rows = np.concatenate([b[0] for b in bags])
+    sizes = np.concatenate([np.diff(np.append(starts, len(grams))) for grams, starts in bags])
+    starts = np.cumsum(sizes) - sizes
+    del words, bags
 
     table = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     softmax = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32)
@@ -117,7 +123,7 @@ def train(
         for i, k in enumerate(batch):
             ids, counts = docs[k]
             which.append(ids)
-            share_of.append(counts / max(1, counts.sum()))
+            share_of.append(counts / (counts.sum() + PADDING))
             row_of.append(np.full(len(ids), i))
         which, share_of, row_of = np.concatenate(which), np.concatenate(share_of), np.concatenate(row_of)
         n = sizes[which]
@@ -194,9 +200,10 @@ def _odds(texts: list[str | None], model: Model, cache: dict[str, float]) -> np.
     split = [words_of(t) if t else [] for t in texts]
     new = list(set().union(*split) - cache.keys()) if split else []
     if new:
-        cache.update(zip(new, model.words(new).tolist()))
+        for i in range(0, len(new), 10_000):
+            cache.update(zip(new[i : i + 10_000], model.words(new[i : i + 10_000]).tolist()))
     find = cache.__getitem__
-    return np.array([model.bias + (sum(map(find, w)) / len(w) if w else 0.0) for w in split])
+    return np.array([model.bias + (sum(map(find, w)) / (len(w) + PADDING)) for w in split])
 
 
 def _score(batches: Batches, model, schema: pa.Schema, reject_at: float | None) -> Batches:
