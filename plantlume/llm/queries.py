@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, mixing, ngram_join, suffix_dedup, toxicity
+from . import decontaminate, exact_dedup, html_text, language, licences, mixing, ngram_join, suffix_dedup, token_count, toxicity
 from .common import table
 
 
@@ -13,6 +13,11 @@ def remainder(modulus: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % modulus
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long")).withColumn("n_lines", html_text.lines_in(F.col("text")).cast("long"))
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = decontaminate.hit_words(F.col("spans"))
@@ -46,6 +51,15 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"))
+    best = F.array_max(F.transform("matches", lambda m: m["dice"]))
+    return found.select(
+        "doc_id", F.size("matches").cast("long").alias("n_matches"), F.coalesce(best, F.lit(0.0)).alias("best_dice"),
+        F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["licence"]))).alias("licences"),
+    )
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -56,7 +70,14 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.recount(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_benchmark_decontamination, op3_mixing, op4_language_id, op5_toxicity, op6_ngram_jaccard, op8_exact_dedup, op9_suffix_dedup)
+    for f in (
+        op1_html_extraction, op2_benchmark_decontamination, op3_mixing, op4_language_id, op5_toxicity, op6_ngram_jaccard,
+        op7_license_scan, op8_exact_dedup, op9_suffix_dedup, op10_token_counts,
+    )
 }
