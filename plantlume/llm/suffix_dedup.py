@@ -139,7 +139,8 @@ def suffix_ranks(text: np.ndarray, depth: int) -> list[np.ndarray]:
     while span < depth:
         r = ranks[-1]
         pair = r * (int(r.max()) + 2)
-        pair[: len(r) - span] += r[span:]
+        if span < len(r):
+            pair[: len(r) - span] += r[span:]
         order = np.argsort(pair)
         s = pair[order]
         rank = np.empty(len(r), np.int64)
