@@ -540,7 +540,7 @@ def _report(batches: Batches, schema: pa.Schema, length: int) -> Batches:
         )
 
 
-HOT_PRINTS, MOST_HOT = 4096, 100_000
+HOT_PRINTS, MOST_HOT = 256, 100_000
 
 
 def repeated_passages(
