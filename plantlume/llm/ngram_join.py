@@ -12,8 +12,9 @@ One tree can't hold a corpus, so trees are built in two kinds of bounded neighbo
 2. Buckets of the prefix filter: order all shingles, those shared most widely last; two sets
    with similarity t have a common shingle among the first n - ceil(t n) + 1 of each. Only buckets
    with several roots are left after the first step, and trees over them find the pairs between
-   different roots. A first round verifies the best pair of any two roots, a second all others, so
-   no link between texts of different components can be missed while pairs inside one are skipped.
+   different roots; small buckets are resolved into pairs, and each pair is bounded once. A first
+   round verifies the likeliest pair of any two roots, a second all others between roots that are
+   still apart, so no link between different components can be missed.
 
 Both are exact; the order of the shingles and the chunks only affect speed.
 """
@@ -42,7 +43,7 @@ CHUNK_TEXTS, CHUNK_BYTES = 4096, 24 << 20
 HEAVY_FROM, HEAVY_MOST = 20, 1_000_000  # widely shared shingles known to all tasks: 8 MB at most
 CACHE_WORDS = 300_000
 BUCKET_ROWS = 8192
-SMALL = 64
+SMALL = 12  # rows of a bucket that is resolved into pairs at once
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -316,13 +317,22 @@ def _prefixes(batches: Batches, schema: pa.Schema, heavy, words: int, percent: i
             )
 
 
+_CROSSING = "hash long, idx long, root long, other long, other_root long"
+
+
 def _crossing(batches: Batches, schema: pa.Schema) -> Batches:
-    """Rows, sorted by hash, of the hashes that several roots share; a hash may run over many batches."""
+    """From rows sorted by hash, what several roots share.
+
+    A bucket of at most ``SMALL`` rows gives its pairs of different roots (``idx`` and ``other``);
+    the rows of a larger one, or of one that runs over batches, go on as they are.
+    """
     waiting: list[tuple[np.ndarray, np.ndarray]] = []  # rows of the last hash, as long as it has one root
     open_hash, open_root, crossed = None, None, False
 
-    def out(h, i, r):
-        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(i), pa.array(r)], schema=schema)
+    def out(h, i, r, other=None, other_root=None):
+        columns = [pa.array(h), pa.array(i), pa.array(r)]
+        columns += [pa.nulls(len(i), pa.int64()) if x is None else pa.array(x) for x in (other, other_root)]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     for batch in batches:
         if not batch.num_rows:
@@ -339,9 +349,22 @@ def _crossing(batches: Batches, schema: pa.Schema) -> Batches:
                 waiting = []
         else:
             waiting = []
-        keep = np.repeat(several, ends - cuts)
+        inner = ends - cuts <= SMALL
+        inner[[0, -1]] = False
+        keep = np.repeat(several & ~inner, ends - cuts)
         if keep.any():
             yield out(h[keep], i[keep], r[keep])
+        keep = np.repeat(several & inner, ends - cuts)
+        if keep.any():
+            hs, idx, root = h[keep], i[keep], r[keep]
+            for d in range(1, SMALL):
+                at = np.flatnonzero(hs[d:] == hs[:-d]) + d
+                if not len(at):
+                    break
+                at = at[root[at] != root[at - d]]
+                swap = root[at] > root[at - d]
+                a, b = np.where(swap, at - d, at), np.where(swap, at, at - d)
+                yield out(np.zeros(len(a), np.int64), idx[a], root[a], idx[b], root[b])
         if len(cuts) > 1 or h[0] != open_hash:
             waiting = []
         if not several[-1]:
@@ -349,17 +372,32 @@ def _crossing(batches: Batches, schema: pa.Schema) -> Batches:
         open_hash, open_root, crossed = h[-1], r[-1], bool(several[-1])
 
 
-_PAIRS = "a long, b long, root_a long, root_b long"
+_PAIRS = "a long, b long, root_a long, root_b long, rank long"
+
+
+def _bounded_pairs(batches: Batches, schema: pa.Schema, percent: int) -> Batches:
+    """Of single pairs with the facts of both sides, those that the bound allows."""
+    for batch in batches:
+        one, two = (
+            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, FINE_GROUPS) for c in ("counts_a", "counts_b")
+        )
+        n, m = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+        at = np.arange(batch.num_rows)
+        bound = _bounds(one, at, two, at)
+        ok = ((100 + percent) * bound >= percent * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        part = batch.filter(pa.array(ok))
+        rank = bound[ok] * 2_000_000 // (n + m)[ok]
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "root_a", "root_b")), pa.array(rank)], schema=schema)
 
 
-def _bucket_pairs(batches: Batches, schema: pa.Schema, percent: int, best_only: bool) -> Batches:
+def _bucket_pairs(batches: Batches, schema: pa.Schema, percent: int) -> Batches:
     """Pairs of different roots in each bucket (rows sorted by hash, then size) that the bound allows.
 
     Buckets are cut at ``BUCKET_ROWS`` rows; since rows come by size, the next cut begins with all
-    earlier rows that are large enough to be similar to one of its own.
+    earlier rows that are large enough to be similar to one of its own. ``rank`` tells likelier
+    pairs.
     """
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    every: set[tuple[int, int, int, int]] = set()
+    every: dict[tuple[int, int], tuple[int, int, int]] = {}
 
     def take(rows, i, j, bound) -> None:
         idx, root, n, _ = rows
@@ -368,11 +406,7 @@ def _bucket_pairs(batches: Batches, schema: pa.Schema, percent: int, best_only:
         swap = root[i] > root[j]
         a, b = np.where(swap, j, i), np.where(swap, i, j)
         rank = bound * 2_000_000 // (n[a] + n[b])
-        for x, y, rx, ry, w in zip(*(c.tolist() for c in (idx[a], idx[b], root[a], root[b], rank))):
-            if not best_only:
-                every.add((x, y, rx, ry))
-            elif (rx, ry) not in best or best[rx, ry][0] < w:
-                best[rx, ry] = (w, x, y)
+        every.update(zip(zip(idx[a].tolist(), idx[b].tolist()), zip(root[a].tolist(), root[b].tolist(), rank.tolist())))
 
     def near(rows, fresh: int) -> None:
         """Pairs within one bucket whose later row is at ``fresh`` or behind."""
@@ -380,24 +414,10 @@ def _bucket_pairs(batches: Batches, schema: pa.Schema, percent: int, best_only:
         for lo in range(fresh, len(rows[0]), 64):
             take(rows, *tree.pairs(lo, min(lo + 64, len(rows[0])), percent))
 
-    def small(rows, bucket: np.ndarray) -> None:
-        """Pairs within many buckets of one leaf each, by distance within the bucket."""
-        _, _, n, points = rows
-        for d in range(1, SMALL):
-            i = np.flatnonzero(bucket[d:] == bucket[:-d]) + d
-            if not len(i):
-                break
-            i = i[100 * n[i - d] >= percent * n[i]]  # sorted by size
-            i = i[rows[1][i] != rows[1][i - d]]
-            bound = _bounds(points, i, points, i - d)
-            ok = (100 + percent) * bound >= percent * (n[i] + n[i - d])
-            take(rows, i[ok], i[ok] - d, bound[ok])
-
     def emit() -> pa.RecordBatch:
-        rows = [(a, b, *key) for key, (_, a, b) in best.items()] if best_only else list(every)
-        best.clear()
+        rows = [(*pair, *more) for pair, more in every.items()]
         every.clear()
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 4)], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], schema=schema)
 
     held, held_hash, kept = None, None, 0  # rows of the bucket at the end of the batch, and how many of them were joined
     for batch in batches:
@@ -417,19 +437,13 @@ def _bucket_pairs(batches: Batches, schema: pa.Schema, percent: int, best_only:
                 held, kept = None, 0
         if len(cuts) > start:
             held, held_hash = tuple(c[cuts[-1] :] for c in rows), h[-1]
-            lengths = (ends - cuts)[start:-1]
-            size = np.repeat(lengths, lengths)
-            bucket = np.repeat(np.arange(len(lengths)), lengths)
-            inner = tuple(c[cuts[start] : cuts[-1]] for c in rows)
-            few = size <= SMALL
-            small(tuple(c[few] for c in inner), bucket[few])
-            for k in np.flatnonzero(lengths > SMALL):
-                near(tuple(c[cuts[start + k] : ends[start + k]] for c in rows), 0)
+            for k in range(start, len(cuts) - 1):
+                near(tuple(c[cuts[k] : ends[k]] for c in rows), 0)
         if len(held[0]) - kept > BUCKET_ROWS:
             near(held, kept)
             held = tuple(c[100 * held[2] >= percent * held[2][-1]] for c in held)
             kept = len(held[0])
-        if len(best) + len(every) > 100_000:
+        if len(every) > 100_000:
             yield emit()
     if held is not None:
         near(held, kept)
@@ -473,37 +487,47 @@ def _links(roots: DataFrame, words: int, percent: int) -> DataFrame:
     kind, schema = _arrow(_PREFIX)
     prefix = partial(_prefixes, schema=schema, heavy=spark.sparkContext.broadcast(heavy), words=words, percent=percent)
     prefixes = arrow_map(roots.select("idx", "root", "text"), prefix, kind)
+    kind, schema = _arrow(_CROSSING)
     crossing = arrow_map(prefixes.repartition("hash").sortWithinPartitions("hash"), partial(_crossing, schema=schema), kind)
     crossing = stored(crossing, "crossing")
 
     facts = roots.select("idx", "n", "counts")
-    texts = roots.select(F.col("idx").alias("of"), "text")
     pair_kind, pair_schema = _arrow(_PAIRS)
+    alone = crossing.where(F.col("other").isNotNull()).select(
+        F.col("idx").alias("a"), F.col("other").alias("b"), F.col("root").alias("root_a"), F.col("other_root").alias("root_b")
+    ).distinct()
+    for side in ("a", "b"):
+        alone = alone.join(facts.select(F.col("idx").alias(side), F.col("n").alias(f"n_{side}"), F.col("counts").alias(f"counts_{side}")), side)
+    laid = crossing.where(F.col("other").isNull()).select("hash", "idx", "root").join(facts, "idx").repartition("hash").sortWithinPartitions("hash", "n", "idx")
+    pairs = arrow_map(alone, partial(_bounded_pairs, schema=pair_schema, percent=percent), pair_kind).unionByName(
+        arrow_map(laid, partial(_bucket_pairs, schema=pair_schema, percent=percent), pair_kind)
+    )
+    pairs = stored(pairs.dropDuplicates(["a", "b"]), "near-pairs")
+
+    texts = roots.select(F.col("idx").alias("of"), "text")
     link_kind, link_schema = _arrow("a long, b long")
 
-    def round_of(rows: DataFrame, best_only: bool) -> DataFrame:
-        laid = rows.join(facts, "idx").repartition("hash").sortWithinPartitions("hash", "n", "idx")
-        pairs = arrow_map(laid, partial(_bucket_pairs, schema=pair_schema, percent=percent, best_only=best_only), pair_kind)
-        pairs = pairs.dropDuplicates(["root_a", "root_b"] if best_only else ["a", "b"])
+    def verified(some: DataFrame) -> DataFrame:
         both = (
-            pairs.join(texts.withColumnRenamed("text", "text_a"), F.col("a") == F.col("of")).drop("of")
+            some.join(texts.withColumnRenamed("text", "text_a"), F.col("a") == F.col("of")).drop("of")
             .join(texts.withColumnRenamed("text", "text_b"), F.col("b") == F.col("of")).drop("of")
         )
-        verified = arrow_map(
+        linked = arrow_map(
             both.select("root_a", "root_b", "text_a", "text_b"),
             partial(_verify, schema=link_schema, words=words, percent=percent), link_kind,
         )
-        return stored(verified, "near-links")
+        return stored(linked, "near-links")
 
-    first = round_of(crossing, True)
+    likeliest = pairs.groupBy("root_a", "root_b").agg(F.max_by(F.struct("a", "b"), F.struct("rank", "a", "b")).alias("p"))
+    chosen = stored(likeliest.select(F.col("p.a").alias("a"), F.col("p.b").alias("b"), "root_a", "root_b"), "near-chosen")
+    first = verified(chosen)
     labels = stored(connected(first), "near-labels")
-    renamed = crossing.join(labels.select(F.col("id").alias("root"), "label"), "root", "left").select(
-        "hash", "idx", F.coalesce("label", "root").alias("root")
-    )
-    several = stored(
-        arrow_map(renamed.repartition("hash").sortWithinPartitions("hash"), partial(_crossing, schema=schema), kind), "crossing"
-    )
-    return first.unionByName(round_of(several, False))
+    rest = pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
+    for side in ("a", "b"):
+        named = labels.select(F.col("id").alias(f"root_{side}"), F.col("label").alias(f"label_{side}"))
+        rest = rest.join(named, f"root_{side}", "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", f"root_{side}"))
+    rest = rest.where(F.col("label_a") != F.col("label_b"))
+    return first.unionByName(verified(rest.select("a", "b", "root_a", "root_b")))
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
