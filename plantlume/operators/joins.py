@@ -224,24 +224,43 @@ def band_stats(
     ``gap`` is a whole number in the unit of ``value``.
 
     Rows are first combined per distinct value, then every bucket of width ``gap`` receives a
-    copy of its two neighbours and the range frame runs inside (group, bucket). No pair is
-    formed and a window holds at most the distinct values of three buckets.
+    copy of its two neighbours. The two ends of every value's band are marker rows among them, so
+    that one running pass upwards and one downwards suffice: a sum is the difference of the running
+    totals at its markers, and since a band covers its own bucket whole, a maximum is the larger of
+    the running maxima from that bucket up to one end and down to the other. No frame slides and
+    no pair is formed; a window holds at most the distinct values of three buckets.
     """
     from pyspark.sql import Window
 
     grouped = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(
         *[F.sum(c).alias(n) for n, c in sums.items()], *[F.max(c).alias(n) for n, c in maxima.items()]
     )
-    home = F.floor(F.col(value) / gap)
-    spread = grouped.withColumn("__home", home).withColumn(
-        "__b", F.explode(F.array(F.col("__home") - 1, F.col("__home"), F.col("__home") + 1))
+    names = [*sums, *maxima]
+    homed = grouped.withColumn("__home", F.floor(F.col(value) / gap))
+    near = homed.withColumn("__b", F.explode(F.array(F.col("__home") - 1, F.col("__home"), F.col("__home") + 1)))
+    rows = near.select(*groups, "__b", "__home", value, F.col(value).cast("double").alias("__at"), F.lit(1).alias("__kind"), *names)
+    ends = F.array(
+        F.struct((F.col(value) - gap).cast("double").alias("at"), F.lit(0).alias("kind")),
+        F.struct((F.col(value) + gap).cast("double").alias("at"), F.lit(2).alias("kind")),
     )
-    frame = Window.partitionBy(*groups, "__b").orderBy(value).rangeBetween(-int(gap), int(gap))
-    stats = {n: F.sum(n).over(frame) for n in sums} | {n: F.max(n).over(frame) for n in maxima}
-    return (
-        spread.select(*groups, value, "__home", "__b", *[c.alias(n) for n, c in stats.items()])
-        .where(F.col("__home") == F.col("__b"))
-        .drop("__home", "__b")
+    empty = [F.lit(None).cast(grouped.schema[n].dataType).alias(n) for n in names]
+    markers = homed.select(*groups, F.col("__home").alias("__b"), "__home", value, F.explode(ends).alias("e")).select(
+        *groups, "__b", "__home", value, F.col("e.at").alias("__at"), F.col("e.kind").alias("__kind"), *empty
+    )
+    place = ["__at", "__kind"]
+    part = Window.partitionBy(*groups, "__b")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    up = part.orderBy(*place).rowsBetween(*so_far)
+    down = part.orderBy(*[F.col(c).desc() for c in place]).rowsBetween(*so_far)
+    lower, upper = F.col("__kind") == 0, F.col("__kind") == 2
+    swept = rows.unionByName(markers).withColumns(
+        {n: F.coalesce(F.sum(n).over(up), F.lit(0)) for n in sums}
+        | {f"__up_{n}": F.max(F.when(F.col("__home") >= F.col("__b"), F.col(n))).over(up) for n in maxima}
+        | {f"__down_{n}": F.max(F.when(F.col("__home") <= F.col("__b"), F.col(n))).over(down) for n in maxima}
+    )
+    return swept.where(F.col("__kind") != 1).groupBy(*groups, value).agg(
+        *[(F.max(F.when(upper, F.col(n))) - F.max(F.when(lower, F.col(n)))).alias(n) for n in sums],
+        *[F.greatest(F.max(F.when(upper, F.col(f"__up_{n}"))), F.max(F.when(lower, F.col(f"__down_{n}")))).alias(n) for n in maxima],
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import durable
 from .ordering import exact_quantiles
 from .tables import stack_rows
 
@@ -49,11 +50,19 @@ def column_profile(df: DataFrame, table: str, temporal: Sequence[str] = (), labe
         (F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("null_rate"),
         F.count("value").alias("n_unique"),
     ]
+    whole = [f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)]
     parts = []
-    if numeric:
-        counts = value_counts(df, numeric, "double")
-        stats = counts.groupBy("columna").agg(*base, F.min("value").alias("min"), F.max("value").alias("max"))
-        quantiles = exact_quantiles(counts, "value", {"p50": 0.5, "p95": 0.95}, ["columna"], weight="n")
+    # Every kind is counted in its own type, so that large whole numbers stay apart; counts are
+    # stored, since both the statistics and the quantiles read them.
+    for kind, names in (("bigint", whole), ("double", [c for c in numeric if c not in whole])):
+        if not names:
+            continue
+        counts = durable(value_counts(df, names, kind), "value-counts")
+        stats = counts.groupBy("columna").agg(
+            *base, F.min("value").cast("double").alias("min"), F.max("value").cast("double").alias("max")
+        )
+        values = counts.withColumn("value", F.col("value").cast("double"))
+        quantiles = exact_quantiles(values, "value", {"p50": 0.5, "p95": 0.95}, ["columna"], weight="n")
         parts.append(stats.join(quantiles, "columna", "left"))
     if other:
         counts = value_counts(df, other, "string")

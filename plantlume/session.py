@@ -27,10 +27,16 @@ def build_session(app: str = "plantlume", master: str | None = None, **conf: str
 
 
 def durable_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only if it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only where master and executors are one machine may it be unset; a temporary folder serves then.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="plantlume-")
     spark.conf.set("spark.checkpoint.dir", local)
     return local

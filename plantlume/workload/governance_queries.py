@@ -10,7 +10,7 @@ from ..operators.tables import literal_table
 from ..plans import lineage, portfolio, quality, readiness
 from .catalog import define, final, query
 from .layers import Layers
-from .roles import table
+from .roles import SOURCES, table
 
 RAW = (
     "plantas", "lineas_proceso", "equipos", "consumos_energia_horarios", "produccion_turno", "desvios_proceso",
@@ -826,6 +826,4 @@ def dominant_drivers(spark, sf):
 
 @query("content_versions")
 def content_versions(spark, sf):
-    return lineage.version_map({n: table(spark, sf, n) for n in ("orders", "part", "customer", "supplier")}).withColumn(
-        "fingerprint", F.col("fingerprint").cast("string")
-    )
+    return lineage.version_map({n: table(spark, sf, n) for n in SOURCES})
