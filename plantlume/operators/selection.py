@@ -2,9 +2,11 @@
 
 Every portfolio (group) has limits on two costs and on the number of picks. Budgets are small
 next to the candidate list, and they only shrink while items are taken: an item that does not fit
-now never fits later. So each round looks at the next few candidates per group that still fit on
-their own, walks through that short list in order, and continues behind it. A round reads the
-candidates once, in parallel; no group is ever gathered whole, and every candidate is decided.
+now, clashes with what is taken, or waits for an item that was passed over, never gets in later. So
+each round looks at the next few candidates per group that none of this rules out, walks through
+that short list in order, and continues behind it: rounds follow the picks, not the candidates. A
+round reads the candidates once, in parallel; no group is ever gathered whole, and every candidate
+is decided.
 """
 
 from __future__ import annotations
@@ -62,6 +64,19 @@ def _walk(conflict_gap: float, c: Candidates) -> Column:
     return F.aggregate("items", F.col("state"), step)
 
 
+def _clashes(taken: Column, conflict_gap: float) -> Column:
+    """Does the row clash with a taken item?"""
+    return F.exists(
+        taken,
+        lambda t: (t["grp"] == F.col("grp"))
+        & ((F.abs(t["cost"] - F.col("cost")) <= conflict_gap) | ((t["quick"] == 1) & (F.col("quick") == 1))),
+    )
+
+
+def _has_needed(taken: Column) -> Column:
+    return F.exists(taken, lambda t: t["id"] == F.col("needs"))
+
+
 TAKEN_TYPE = "array<struct<id: string, grp: string, cost: double, quick: int>>"
 
 
@@ -120,8 +135,12 @@ def take_if_fits(
             F.col(c.needs).cast("string").alias("needs"),
             F.col(c.quick).cast("int").alias("quick"),
         ),
-        "candidates",
+        "walk",
     )
+    # Where the needed item stands in the walk; behind the item itself, or nowhere, it comes too late.
+    needed = pool.select(*keys, F.col("id").alias("needs"), F.col("place").alias("needs_place"))
+    pool = pool.join(needed, [*keys, "needs"], "left").where(F.col("needs").isNull() | (F.col("needs_place") < F.col("place")))
+    pool = durable(pool, "candidates")
     no_place = F.lit(None).cast(pool.schema["place"].dataType)
     current = durable(state.withColumn("behind", no_place), "selection")
     while True:
@@ -131,6 +150,8 @@ def take_if_fits(
             .where(F.col("behind").isNull() | (F.col("place") > F.col("behind")))
             .where(F.col("cost") <= F.col("state.cap") - F.col("state.used") + 1e-6)
             .where(F.col("cost_2") <= F.col("state.cap_2") - F.col("state.used_2") + 1e-6)
+            .where(~_clashes(F.col("state.taken"), conflict_gap))
+            .where(F.col("needs").isNull() | F.col("behind").isNull() | (F.col("needs_place") > F.col("behind")) | _has_needed(F.col("state.taken")))
             .drop("state", "behind")
         )
         following = top_per_group(fitting, keys, [F.col("place").asc()], batch)

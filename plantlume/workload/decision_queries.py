@@ -711,7 +711,12 @@ define(
     "forced_in",
     "SELECT iniciativa_id FROM forced_all WHERE iniciativa_id NOT IN (SELECT iniciativa_id FROM forced_out)"
     " UNION SELECT d.depends_on_iniciativa_id FROM forced_in f JOIN dependency d USING (iniciativa_id)"
-    " WHERE d.depends_on_iniciativa_id NOT IN (SELECT iniciativa_id FROM forced_out)",
+    " JOIN priority p ON p.iniciativa_id = d.depends_on_iniciativa_id"
+    " WHERE d.depends_on_iniciativa_id NOT IN (SELECT iniciativa_id FROM forced_out)"
+    " AND NOT EXISTS (SELECT 1 FROM forced_all o WHERE o.iniciativa_id NOT IN (SELECT iniciativa_id FROM forced_out)"
+    " AND o.iniciativa_id <> p.iniciativa_id AND o.planta_id = p.planta_id AND o.linea_id = p.linea_id"
+    " AND o.categoria_iniciativa = p.categoria_iniciativa AND (abs(o.capex_estimado - p.capex_estimado) <= 100000"
+    " OR (o.quick_win_flag = 1 AND p.quick_win_flag = 1)))",
 )
 define(
     "forced_member",
@@ -754,21 +759,29 @@ define(
     " AND s.linea_id = p.linea_id AND s.categoria_iniciativa = p.categoria_iniciativa"
     " AND (abs(s.capex_estimado - p.capex_estimado) <= 100000 OR (s.quick_win_flag = 1 AND p.quick_win_flag = 1)))"
     " THEN 'conflict_with_forced'"
-    " WHEN p.iniciativa_id IN (SELECT iniciativa_id FROM cyclic) THEN 'dependency_cycle' END AS preblocked"
+    " WHEN d.depends_on_iniciativa_id = p.iniciativa_id OR d.depends_on_iniciativa_id IN (SELECT iniciativa_id FROM dependency"
+    " WHERE iniciativa_id = depends_on_iniciativa_id) AND NOT EXISTS (SELECT 1 FROM forced_member f"
+    " WHERE f.iniciativa_id = d.depends_on_iniciativa_id AND f.budget_scenario = b.budget_scenario"
+    " AND f.planta_id = p.planta_id) THEN 'dependency_cycle' END AS preblocked"
     " FROM priority p CROSS JOIN budget b LEFT JOIN dependency d ON d.iniciativa_id = p.iniciativa_id"
     " WHERE p.iniciativa_id NOT IN (SELECT iniciativa_id FROM forced_out)"
     " AND NOT EXISTS (SELECT 1 FROM forced_member f WHERE f.iniciativa_id = p.iniciativa_id"
     " AND f.budget_scenario = b.budget_scenario)",
 )
+define(
+    "worthy",
+    "SELECT * FROM open_item o WHERE preblocked IS NULL AND (objective_value_eur > 0 OR objective_value_eur + ("
+    "SELECT max(x.objective_value_eur) FROM open_item x WHERE x.preblocked IS NULL AND x.needs = o.iniciativa_id"
+    " AND x.planta_id = o.planta_id AND x.budget_scenario = o.budget_scenario) > 0)",
+)
 define(
     "walk_item",
     "SELECT c.*, row_number() OVER (PARTITION BY c.planta_id, c.budget_scenario ORDER BY"
     " CASE WHEN e.density < c.density THEN e.density ELSE c.density END DESC,"
     " CASE WHEN e.density < c.density THEN c.needs ELSE c.iniciativa_id END,"
     " CASE WHEN e.density < c.density THEN c.density END DESC NULLS FIRST, c.iniciativa_id) AS rn"
-    " FROM open_item c LEFT JOIN open_item e ON e.planta_id = c.planta_id AND e.budget_scenario = c.budget_scenario"
-    " AND e.iniciativa_id = c.needs AND e.preblocked IS NULL AND e.objective_value_eur > 0"
-    " WHERE c.preblocked IS NULL AND c.objective_value_eur > 0",
+    " FROM worthy c LEFT JOIN worthy e ON e.planta_id = c.planta_id AND e.budget_scenario = c.budget_scenario"
+    " AND e.iniciativa_id = c.needs",
 )
 define(
     "walk",
