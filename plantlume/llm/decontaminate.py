@@ -219,7 +219,7 @@ def _clean(batches: Batches, shared, share: float, spans_only: bool) -> Batches:
                 k = part.schema.get_field_index("text")
                 yield part.set_column(k, part.schema.field(k), pa.array(new, part.schema.field(k).type))
             else:
-                bad = [bool(f[1]) and sum(b - a for a, b in f[1]) >= share * f[0] for f in found]
+                bad = [bool(f[1]) and sum(b - a for a, b in f[1]) / f[0] >= share for f in found]
                 yield part.filter(pa.array([not b for b in bad], pa.bool_()))
 
 
@@ -254,7 +254,7 @@ def decontaminate(
         # The row number stands in for the id, so that the scan's result can be joined to the row.
         found = find_contamination(numbered.select(F.col("__row").alias("doc_id"), "text"), benchmark, n, block_windows)
         hits = hit_words(F.col("spans"))
-        bad = found.where((hits > 0) & (hits >= share * F.col("n_words"))).select(F.col("doc_id").alias("__row"))
+        bad = found.where((hits > 0) & (F.try_divide(hits, F.col("n_words")) >= share)).select(F.col("doc_id").alias("__row"))
         return numbered.join(bad, "__row", "left_anti").select(*docs.columns)
     for shared in sets:
         docs = arrow_map(docs, partial(_clean, shared=shared, share=share, spans_only=spans_only), docs.schema)

@@ -390,14 +390,15 @@ def _bounded_pairs(batches: Batches, schema: pa.Schema, percent: int) -> Batches
         yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "root_a", "root_b")), pa.array(rank)], schema=schema)
 
 
-def _bucket_pairs(batches: Batches, schema: pa.Schema, percent: int) -> Batches:
+def _bucket_pairs(batches: Batches, schema: pa.Schema, percent: int, best_only: bool) -> Batches:
     """Pairs of different roots in each bucket (rows sorted by hash, then size) that the bound allows.
 
     Buckets are cut at ``BUCKET_ROWS`` rows; since rows come by size, the next cut begins with all
     earlier rows that are large enough to be similar to one of its own. ``rank`` tells likelier
-    pairs.
+    pairs; with ``best_only`` the likeliest of any two roots stands for the others.
     """
-    every: dict[tuple[int, int], tuple[int, int, int]] = {}
+    every: dict[tuple[int, int], tuple[int, int, int]] = {}  # by the two texts
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}  # by the two roots
 
     def take(rows, i, j, bound) -> None:
         idx, root, n, _ = rows
@@ -406,7 +407,16 @@ def _bucket_pairs(batches: Batches, schema: pa.Schema, percent: int) -> Batches:
         swap = root[i] > root[j]
         a, b = np.where(swap, j, i), np.where(swap, i, j)
         rank = bound * 2_000_000 // (n[a] + n[b])
-        every.update(zip(zip(idx[a].tolist(), idx[b].tolist()), zip(root[a].tolist(), root[b].tolist(), rank.tolist())))
+        if not best_only:
+            every.update(zip(zip(idx[a].tolist(), idx[b].tolist()), zip(root[a].tolist(), root[b].tolist(), rank.tolist())))
+            return
+        order = np.lexsort((-rank, root[b], root[a]))
+        a, b, rank = a[order], b[order], rank[order]
+        first = np.flatnonzero(np.concatenate([[True], (root[a][1:] != root[a][:-1]) | (root[b][1:] != root[b][:-1])])) if len(a) else []
+        for k in first:
+            key = (int(root[a[k]]), int(root[b[k]]))
+            if key not in best or best[key][2] < rank[k]:
+                best[key] = (int(idx[a[k]]), int(idx[b[k]]), int(rank[k]))
 
     def near(rows, fresh: int) -> None:
         """Pairs within one bucket whose later row is at ``fresh`` or behind."""
@@ -415,8 +425,9 @@ def _bucket_pairs(batches: Batches, schema: pa.Schema, percent: int) -> Batches:
             take(rows, *tree.pairs(lo, min(lo + 64, len(rows[0])), percent))
 
     def emit() -> pa.RecordBatch:
-        rows = [(*pair, *more) for pair, more in every.items()]
+        rows = [(*pair, *more) for pair, more in every.items()] + [(a, b, *roots, rank) for roots, (a, b, rank) in best.items()]
         every.clear()
+        best.clear()
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 5)], schema=schema)
 
     held, held_hash, kept = None, None, 0  # rows of the bucket at the end of the batch, and how many of them were joined
@@ -443,7 +454,7 @@ def _bucket_pairs(batches: Batches, schema: pa.Schema, percent: int) -> Batches:
             near(held, kept)
             held = tuple(c[100 * held[2] >= percent * held[2][-1]] for c in held)
             kept = len(held[0])
-        if len(every) > 100_000:
+        if len(every) + len(best) > 100_000:
             yield emit()
     if held is not None:
         near(held, kept)
@@ -488,21 +499,28 @@ def _links(roots: DataFrame, words: int, percent: int) -> DataFrame:
     prefix = partial(_prefixes, schema=schema, heavy=spark.sparkContext.broadcast(heavy), words=words, percent=percent)
     prefixes = arrow_map(roots.select("idx", "root", "text"), prefix, kind)
     kind, schema = _arrow(_CROSSING)
-    crossing = arrow_map(prefixes.repartition("hash").sortWithinPartitions("hash"), partial(_crossing, schema=schema), kind)
-    crossing = stored(crossing, "crossing")
-
     facts = roots.select("idx", "n", "counts")
     pair_kind, pair_schema = _arrow(_PAIRS)
-    alone = crossing.where(F.col("other").isNotNull()).select(
-        F.col("idx").alias("a"), F.col("other").alias("b"), F.col("root").alias("root_a"), F.col("other_root").alias("root_b")
-    ).distinct()
-    for side in ("a", "b"):
-        alone = alone.join(facts.select(F.col("idx").alias(side), F.col("n").alias(f"n_{side}"), F.col("counts").alias(f"counts_{side}")), side)
-    laid = crossing.where(F.col("other").isNull()).select("hash", "idx", "root").join(facts, "idx").repartition("hash").sortWithinPartitions("hash", "n", "idx")
-    pairs = arrow_map(alone, partial(_bounded_pairs, schema=pair_schema, percent=percent), pair_kind).unionByName(
-        arrow_map(laid, partial(_bucket_pairs, schema=pair_schema, percent=percent), pair_kind)
-    )
-    pairs = stored(pairs.dropDuplicates(["a", "b"]), "near-pairs")
+
+    def shared_by_roots(rows: DataFrame) -> DataFrame:
+        laid = rows.repartition("hash").sortWithinPartitions("hash")
+        return stored(arrow_map(laid, partial(_crossing, schema=schema), kind), "crossing")
+
+    def allowed(crossing: DataFrame, best_only: bool) -> DataFrame:
+        alone = crossing.where(F.col("other").isNotNull()).select(
+            F.col("idx").alias("a"), F.col("other").alias("b"), F.col("root").alias("root_a"), F.col("other_root").alias("root_b")
+        ).distinct()
+        for side in ("a", "b"):
+            of = facts.select(F.col("idx").alias(side), F.col("n").alias(f"n_{side}"), F.col("counts").alias(f"counts_{side}"))
+            alone = alone.join(of, side)
+        laid = crossing.where(F.col("other").isNull()).select("hash", "idx", "root").join(facts, "idx")
+        laid = laid.repartition("hash").sortWithinPartitions("hash", "n", "idx")
+        single = arrow_map(alone, partial(_bounded_pairs, schema=pair_schema, percent=percent), pair_kind)
+        of_buckets = arrow_map(laid, partial(_bucket_pairs, schema=pair_schema, percent=percent, best_only=best_only), pair_kind)
+        return stored(single.unionByName(of_buckets).dropDuplicates(["a", "b"]), "near-pairs")
+
+    crossing = shared_by_roots(prefixes)
+    pairs = allowed(crossing, True)
 
     texts = roots.select(F.col("idx").alias("of"), "text")
     link_kind, link_schema = _arrow("a long, b long")
@@ -522,12 +540,15 @@ def _links(roots: DataFrame, words: int, percent: int) -> DataFrame:
     chosen = stored(likeliest.select(F.col("p.a").alias("a"), F.col("p.b").alias("b"), "root_a", "root_b"), "near-chosen")
     first = verified(chosen)
     labels = stored(connected(first), "near-labels")
-    rest = pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti")
+    rest = pairs.join(chosen.select("a", "b"), ["a", "b"], "left_anti").drop("rank")
     for side in ("a", "b"):
         named = labels.select(F.col("id").alias(f"root_{side}"), F.col("label").alias(f"label_{side}"))
         rest = rest.join(named, f"root_{side}", "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", f"root_{side}"))
-    rest = rest.where(F.col("label_a") != F.col("label_b"))
-    return first.unionByName(verified(rest.select("a", "b", "root_a", "root_b")))
+    rest = rest.select("a", "b", F.col("label_a").alias("root_a"), F.col("label_b").alias("root_b"))
+    large = crossing.where(F.col("other").isNull()).join(labels.select(F.col("id").alias("root"), "label"), "root", "left")
+    still = shared_by_roots(large.select("hash", "idx", F.coalesce("label", "root").alias("root")))
+    rest = rest.unionByName(allowed(still, False).drop("rank")).where(F.col("root_a") != F.col("root_b")).dropDuplicates(["a", "b"])
+    return first.unionByName(verified(rest))
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
