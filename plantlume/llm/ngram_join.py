@@ -239,16 +239,14 @@ def _roots(batches: Batches, schema: pa.Schema, words: int, percent: int) -> Bat
         parent = by_size[label][place]
         points = [counts_of(s, FINE_GROUPS) for s in sets]
         idx = np.array(row_numbers(made, len(sets)), np.int64)
-        # shingles of different roots of this chunk
+        # shingles that different roots of this chunk share, and in how many texts
         flat = np.concatenate(sets)
-        owner = np.repeat(parent, [len(s) for s in sets])
-        order = np.lexsort((owner, flat))
+        owner = np.repeat(parent, sizes)
+        order = np.argsort(flat)
         flat, owner = flat[order], owner[order]
-        new = np.concatenate([[True], flat[1:] != flat[:-1]])
-        other = np.concatenate([[False], (flat[1:] == flat[:-1]) & (owner[1:] != owner[:-1])])
-        cuts = np.flatnonzero(new)
-        roots = np.add.reduceat(other.astype(np.int64), cuts) + 1
-        many = roots >= 2
+        cuts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        many = np.minimum.reduceat(owner, cuts) != np.maximum.reduceat(owner, cuts)
+        roots = np.diff(np.append(cuts, len(flat)))
         k = len(sets)
         empty = [None] * (k - 1)
         return pa.RecordBatch.from_arrays(
