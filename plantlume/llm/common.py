@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from ..session import durable_dir
 
-BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_ROWS = 10_000
+BATCH_BYTES = 8 << 20
 
 UPPER, LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 SPACES = b" \t\n\x0b\x0c\r"
