@@ -4,7 +4,7 @@
 def queries() -> dict:
     from corpus_pipeline import run
 
-    from .queries import QUERIES
+    from .registered import QUERIES
 
     return {**QUERIES, "pipeline": run}
 
