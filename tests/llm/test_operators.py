@@ -65,6 +65,46 @@ def test_pages(page):
     assert html_text.visible_text(page) == PAGES[page]
 
 
+STYLED = {
+    "<style>@media print{.nav{display:none}}</style><p class=nav>yes": "yes",
+    "<style>@media (max-width: 600px){.nav{display:none}}</style><p class=nav>yes": "yes",
+    "<style media=print>.nav{display:none}</style><p class=nav>yes": "yes",
+    "<noscript><style>p{display:none}</style></noscript><p>yes": "yes",
+    "<style>@media screen and (min-width:600px){.nav{display:none}}</style><p class=nav>no<p>yes": "yes",
+    "<style>@media (prefers-reduced-motion){.nav{display:none}}</style><p class=nav>yes": "yes",
+    "<style>.tab{display:none}.tab{display:block}</style><p class=tab>yes": "yes",
+    "<style>.tab{display:block}.tab{display:none}</style><p class=tab>no<p>yes": "yes",
+    "<style>.tab.active{display:flex}.tab{display:none}</style><p class='tab active'>yes<p class=tab>no": "yes",
+    "<style>#a .tab{display:block}.tab{display:none}</style><div id=a><p class=tab>yes</div><p class=tab>no": "yes",
+    "<style>.tab{display:none}.tab:nth-last-of-type(2){display:block}</style><p class=tab>yes": "yes",
+    "<style>.tab:nth-last-of-type(2){display:none}</style><p class=tab>yes": "yes",
+    "<style>.tab{display:none}.tab:hover{display:block}</style><p class=tab>no<p>yes": "yes",
+    "<style>p::before{display:none}</style><p>yes": "yes",
+    "<style>.md\\:block{display:block!important}.hide{display:none}</style><p class='hide md:block'>yes<p class=hide>no": "yes",
+    "<style>.tab{display:none;&.on{display:block}}</style><p class='tab on'>yes<p class=tab>no": "yes",
+    "<style>p{display:none}</style><p style='display:block'>yes<p>no": "yes",
+    "<style>p{display:none!important}</style><p style='display:block'>no</p>yes": "yes",
+    "<style>.x{display:block}</style><p class=x hidden>yes<p hidden>no": "yes",
+    "<style>@layer u{.x{display:none}} .x{display:block} @layer u{.y{display:none}}</style><p class=x>yes<p class=y>no": "yes",
+    "<style>p{content:'}.a{display:none}'}</style><p class=a>yes": "yes",
+    "<math><mi>a</mi><mo>+</mo><mi>b</mi><annotation>no</annotation></math>": "a+b",
+    "x <svg><title>no</title><defs/><path d=z /><text>One</text><text>Two</text><defs><text>no</text></defs></svg> y": "x One Two y",
+    "<map name=m>over <area href=x>there</map>": "over there",
+    "<svg><defs><p>yes": "yes",
+}
+
+
+@pytest.mark.parametrize("page", STYLED)
+def test_styled_pages(page):
+    assert html_text.visible_text(page) == STYLED[page]
+
+
+def test_long_style_sheets():
+    assert html_text.visible_text("<style>" + "a b c d ~ e{display:none}" * 300 + "</style>" + "<e>" * 2000 + "x") == "x"
+    assert html_text.visible_text("<style>" + "a{" * 5000 + "display:none</style>x") == "x"
+    assert html_text.visible_text("<style>p{" + "& &{" * 60 + "display:none</style><p>x") == "x"
+
+
 def test_long_and_deep_pages():
     assert html_text.visible_text("<div>" * 20_000 + "x") == "x"
     assert html_text.visible_text("<b>" * 20_000 + "<p>x") == "x"
