@@ -17,6 +17,10 @@ One tree can't hold a corpus, so trees are built in two kinds of bounded neighbo
    still apart, so no link between different components can be missed.
 
 Both are exact; the order of the shingles and the chunks only affect speed.
+
+That gives components (``near_groups``) and skips pairs which can't change them. ``near_pairs`` gives
+the links themselves: every pair of different texts that the bound allows is verified, inside chunks
+on the sets at hand and from the prefix buckets for texts of different chunks.
 """
 
 from __future__ import annotations
@@ -187,6 +191,18 @@ def link_chunk(sets: list[np.ndarray], points: np.ndarray, percent: int, block:
     return label
 
 
+def shared_with(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many shingles a set shares with each of others; none is empty."""
+    out = []
+    for at in range(0, len(others), 512):
+        some = others[at : at + 512]
+        flat = np.concatenate(some)
+        hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+        starts = np.cumsum([0, *(len(s) for s in some[:-1])])
+        out.append(np.add.reduceat(hit, starts, dtype=np.int64))
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
 # ---- 1. sets, and links inside chunks -------------------------------------------------------
 
 _SETS = "row long, n long, node long, check long, place long, text string"
@@ -224,38 +240,10 @@ def _sets(batches: Batches, schema: pa.Schema, words: int) -> Batches:
 _ROOTS = "node long, check long, idx long, root long, n long, counts binary, text string, shared array<long>, shared_roots array<long>"
 
 
-def _roots(batches: Batches, schema: pa.Schema, words: int, percent: int) -> Batches:
-    """Chunks of distinct texts with their root, and which shingles several roots of the chunk share."""
+def _chunks(batches: Batches, words: int):
+    """Number of texts before, digests, texts and sets of each chunk of distinct texts."""
     shingle, made, last = Shingler(words), 0, None
     nodes, checks, texts, sets, held = [], [], [], [], 0
-
-    def done() -> pa.RecordBatch:
-        # neighbours in size and, among those, in the order of the least hashes share a leaf
-        sizes = np.array([len(s) for s in sets])
-        by_size = np.argsort(np.floor(np.log(sizes) / np.log(1.15)), kind="stable")
-        place = np.empty_like(by_size)
-        place[by_size] = np.arange(len(sets))
-        label = link_chunk([sets[k] for k in by_size], np.array([counts_of(sets[k]) for k in by_size]), percent)
-        parent = by_size[label][place]
-        points = [counts_of(s, FINE_GROUPS) for s in sets]
-        idx = np.array(row_numbers(made, len(sets)), np.int64)
-        # shingles that different roots of this chunk share, and in how many texts
-        flat = np.concatenate(sets)
-        owner = np.repeat(parent, sizes)
-        order = np.argsort(flat)
-        flat, owner = flat[order], owner[order]
-        cuts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-        many = np.minimum.reduceat(owner, cuts) != np.maximum.reduceat(owner, cuts)
-        roots = np.diff(np.append(cuts, len(flat)))
-        k = len(sets)
-        empty = [None] * (k - 1)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(idx), pa.array(idx[parent]),
-             pa.array([len(s) for s in sets], pa.int64()), pa.array([p.tobytes() for p in points], pa.binary()), pa.array(texts, pa.string()),
-             pa.array([flat[cuts[many]].view(np.int64).tolist(), *empty], pa.list_(pa.int64())), pa.array([roots[many].tolist(), *empty], pa.list_(pa.int64()))],
-            schema=schema,
-        )
-
     for batch in batches:
         part_nodes, part_checks = batch.column("node").to_pylist(), batch.column("check").to_pylist()
         part_texts = batch.column("text").to_pylist()
@@ -273,11 +261,80 @@ def _roots(batches: Batches, schema: pa.Schema, words: int, percent: int) -> Bat
                 sets.append(s)
                 held += len(part_texts[i])
                 if len(sets) >= CHUNK_TEXTS or held >= CHUNK_BYTES:
-                    yield done()
+                    yield made, nodes, checks, texts, sets
                     made += len(sets)
                     nodes, checks, texts, sets, held = [], [], [], [], 0
     if sets:
-        yield done()
+        yield made, nodes, checks, texts, sets
+
+
+def _by_size(sizes: np.ndarray) -> np.ndarray:
+    """Neighbours in size and, among those, in the order of the least hashes share a leaf."""
+    return np.argsort(np.floor(np.log(sizes) / np.log(1.15)), kind="stable")
+
+
+def _shared(sets: list[np.ndarray], owner: np.ndarray, sizes: np.ndarray) -> tuple[list[int], list[int]]:
+    """Shingles that different owners of this chunk share, and in how many texts."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(owner, sizes)
+    order = np.argsort(flat)
+    flat, owner = flat[order], owner[order]
+    cuts = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    many = np.minimum.reduceat(owner, cuts) != np.maximum.reduceat(owner, cuts)
+    roots = np.diff(np.append(cuts, len(flat)))
+    return flat[cuts[many]].view(np.int64).tolist(), roots[many].tolist()
+
+
+def _roots(batches: Batches, schema: pa.Schema, words: int, percent: int) -> Batches:
+    """Chunks of distinct texts with their root, and which shingles several roots of the chunk share."""
+    for made, nodes, checks, texts, sets in _chunks(batches, words):
+        sizes = np.array([len(s) for s in sets])
+        by_size = _by_size(sizes)
+        place = np.empty_like(by_size)
+        place[by_size] = np.arange(len(sets))
+        label = link_chunk([sets[k] for k in by_size], np.array([counts_of(sets[k]) for k in by_size]), percent)
+        parent = by_size[label][place]
+        points = [counts_of(s, FINE_GROUPS) for s in sets]
+        idx = np.array(row_numbers(made, len(sets)), np.int64)
+        shared, roots = _shared(sets, parent, sizes)
+        empty = [None] * (len(sets) - 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(idx), pa.array(idx[parent]),
+             pa.array(sizes, pa.int64()), pa.array([p.tobytes() for p in points], pa.binary()), pa.array(texts, pa.string()),
+             pa.array([shared, *empty], pa.list_(pa.int64())), pa.array([roots, *empty], pa.list_(pa.int64()))],
+            schema=schema,
+        )
+
+
+_TEXTS = f"{_ROOTS}, near array<long>, near_shared array<long>"
+
+
+def _linked(batches: Batches, schema: pa.Schema, words: int, percent: int, block: int = 64) -> Batches:
+    """Distinct texts with all their links to earlier texts of their chunk; ``root`` stands for the chunk."""
+    for made, nodes, checks, texts, sets in _chunks(batches, words):
+        order = _by_size(np.array([len(s) for s in sets])).tolist()
+        nodes, checks, texts, sets = ([x[k] for k in order] for x in (nodes, checks, texts, sets))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        tree = Tree(np.array([counts_of(s) for s in sets]), sizes)
+        idx = np.array(row_numbers(made, len(sets)), np.int64)
+        lists = [*_shared(sets, np.arange(len(sets)), sizes)]
+        for lo in range(0, len(sets), block):
+            hi = min(lo + block, len(sets))
+            i, j, _ = tree.pairs(lo, hi, percent)
+            near, near_shared = [], []
+            for a in range(lo, hi):
+                others = j[i == a]
+                shared = shared_with(sets[a], [sets[b] for b in others])
+                ok = 100 * shared >= percent * (sizes[a] + sizes[others] - shared)
+                near.append(idx[others[ok]].tolist())
+                near_shared.append(shared[ok].tolist())
+            first = [[x, *[None] * (hi - lo - 1)] for x in lists]
+            lists = [None, None]
+            columns = [
+                nodes[lo:hi], checks[lo:hi], idx[lo:hi], np.full(hi - lo, idx[0]), sizes[lo:hi],
+                [counts_of(s, FINE_GROUPS).tobytes() for s in sets[lo:hi]], texts[lo:hi], *first, near, near_shared,
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 # ---- 2. prefix buckets ----------------------------------------------------------------------
@@ -473,13 +530,25 @@ def _verify(batches: Batches, schema: pa.Schema, words: int, percent: int) -> Ba
             yield pa.RecordBatch.from_arrays([part.column("root_a").filter(ok), part.column("root_b").filter(ok)], schema=schema)
 
 
+def _verify_pairs(batches: Batches, schema: pa.Schema, words: int, percent: int) -> Batches:
+    shingle = Shingler(words)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            one, two = (shingle(part.column(c).cast(pa.binary()).to_pylist()) for c in ("text_a", "text_b"))
+            shared = np.array([shared_with(x, [y])[0] for x, y in zip(one, two)])
+            union = np.array([len(x) + len(y) for x, y in zip(one, two)]) - shared
+            part = pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(shared)], schema=schema)
+            yield part.filter(pa.array(100 * shared >= percent * union))
+
+
 def _arrow(ddl: str, lead: list[T.StructField] = ()) -> tuple[T.StructType, pa.Schema]:
     kind = T.StructType([*lead, *T._parse_datatype_string(ddl).fields])
     return kind, pa.schema([pa.field(f.name, arrow_type(f.dataType)) for f in kind.fields])
 
 
-def _links(roots: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between roots of different chunks, found in prefix buckets: ``a, b``."""
+def _prefixed(roots: DataFrame, words: int, percent: int) -> DataFrame:
+    """Prefix shingles of all texts, those shared most widely last: ``hash, idx, root``."""
     spark = roots.sparkSession
     shared = (
         roots.where(F.size("shared") > 0)
@@ -495,41 +564,49 @@ def _links(roots: DataFrame, words: int, percent: int) -> DataFrame:
         heavy = np.array([np.iinfo(np.uint64).max], np.uint64)
     kind, schema = _arrow(_PREFIX)
     prefix = partial(_prefixes, schema=schema, heavy=spark.sparkContext.broadcast(heavy), words=words, percent=percent)
-    prefixes = arrow_map(roots.select("idx", "root", "text"), prefix, kind)
+    return arrow_map(roots.select("idx", "root", "text"), prefix, kind)
+
+
+def _shared_by_roots(rows: DataFrame) -> DataFrame:
     kind, schema = _arrow(_CROSSING)
-    facts = roots.select("idx", "n", "counts")
+    laid = rows.repartition("hash").sortWithinPartitions("hash")
+    return stored(arrow_map(laid, partial(_crossing, schema=schema), kind), "crossing")
+
+
+def _allowed(crossing: DataFrame, facts: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Pairs of texts of different roots that the bound allows."""
     pair_kind, pair_schema = _arrow(_PAIRS)
+    alone = crossing.where(F.col("other").isNotNull()).select(
+        F.col("idx").alias("a"), F.col("other").alias("b"), F.col("root").alias("root_a"), F.col("other_root").alias("root_b")
+    ).distinct()
+    for side in ("a", "b"):
+        of = facts.select(F.col("idx").alias(side), F.col("n").alias(f"n_{side}"), F.col("counts").alias(f"counts_{side}"))
+        alone = alone.join(of, side)
+    laid = crossing.where(F.col("other").isNull()).select("hash", "idx", "root").join(facts, "idx")
+    laid = laid.repartition("hash").sortWithinPartitions("hash", "n", "idx")
+    single = arrow_map(alone, partial(_bounded_pairs, schema=pair_schema, percent=percent), pair_kind)
+    of_buckets = arrow_map(laid, partial(_bucket_pairs, schema=pair_schema, percent=percent, best_only=best_only), pair_kind)
+    return stored(single.unionByName(of_buckets).dropDuplicates(["a", "b"]), "near-pairs")
 
-    def shared_by_roots(rows: DataFrame) -> DataFrame:
-        laid = rows.repartition("hash").sortWithinPartitions("hash")
-        return stored(arrow_map(laid, partial(_crossing, schema=schema), kind), "crossing")
-
-    def allowed(crossing: DataFrame, best_only: bool) -> DataFrame:
-        alone = crossing.where(F.col("other").isNotNull()).select(
-            F.col("idx").alias("a"), F.col("other").alias("b"), F.col("root").alias("root_a"), F.col("other_root").alias("root_b")
-        ).distinct()
-        for side in ("a", "b"):
-            of = facts.select(F.col("idx").alias(side), F.col("n").alias(f"n_{side}"), F.col("counts").alias(f"counts_{side}"))
-            alone = alone.join(of, side)
-        laid = crossing.where(F.col("other").isNull()).select("hash", "idx", "root").join(facts, "idx")
-        laid = laid.repartition("hash").sortWithinPartitions("hash", "n", "idx")
-        single = arrow_map(alone, partial(_bounded_pairs, schema=pair_schema, percent=percent), pair_kind)
-        of_buckets = arrow_map(laid, partial(_bucket_pairs, schema=pair_schema, percent=percent, best_only=best_only), pair_kind)
-        return stored(single.unionByName(of_buckets).dropDuplicates(["a", "b"]), "near-pairs")
-
-    crossing = shared_by_roots(prefixes)
-    pairs = allowed(crossing, True)
 
+def _with_texts(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     texts = roots.select(F.col("idx").alias("of"), "text")
+    return (
+        pairs.join(texts.withColumnRenamed("text", "text_a"), F.col("a") == F.col("of")).drop("of")
+        .join(texts.withColumnRenamed("text", "text_b"), F.col("b") == F.col("of")).drop("of")
+    )
+
+
+def _links(roots: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between roots of different chunks, found in prefix buckets: ``a, b``."""
+    facts = roots.select("idx", "n", "counts")
+    crossing = _shared_by_roots(_prefixed(roots, words, percent))
+    pairs = _allowed(crossing, facts, percent, True)
     link_kind, link_schema = _arrow("a long, b long")
 
     def verified(some: DataFrame) -> DataFrame:
-        both = (
-            some.join(texts.withColumnRenamed("text", "text_a"), F.col("a") == F.col("of")).drop("of")
-            .join(texts.withColumnRenamed("text", "text_b"), F.col("b") == F.col("of")).drop("of")
-        )
         linked = arrow_map(
-            both.select("root_a", "root_b", "text_a", "text_b"),
+            _with_texts(some, roots).select("root_a", "root_b", "text_a", "text_b"),
             partial(_verify, schema=link_schema, words=words, percent=percent), link_kind,
         )
         return stored(linked, "near-links")
@@ -544,11 +621,22 @@ def _links(roots: DataFrame, words: int, percent: int) -> DataFrame:
         rest = rest.join(named, f"root_{side}", "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", f"root_{side}"))
     rest = rest.select("a", "b", F.col("label_a").alias("root_a"), F.col("label_b").alias("root_b"))
     large = crossing.where(F.col("other").isNull()).join(labels.select(F.col("id").alias("root"), "label"), "root", "left")
-    still = shared_by_roots(large.select("hash", "idx", F.coalesce("label", "root").alias("root")))
-    rest = rest.unionByName(allowed(still, False).drop("rank")).where(F.col("root_a") != F.col("root_b")).dropDuplicates(["a", "b"])
+    still = _shared_by_roots(large.select("hash", "idx", F.coalesce("label", "root").alias("root")))
+    rest = rest.unionByName(_allowed(still, facts, percent, False).drop("rank")).where(F.col("root_a") != F.col("root_b")).dropDuplicates(["a", "b"])
     return first.unionByName(verified(rest))
 
 
+def _placed(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """Size and digest of every row, and the texts in the order of their least hashes."""
+    kind, schema = _arrow(_SETS, [T.StructField("doc_id", docs.schema["doc_id"].dataType)])
+    sets = stored(arrow_map(docs.select("doc_id", "text"), partial(_sets, schema=schema, words=words), kind), "near-sets")
+    placed = (
+        sets.where(F.col("text").isNotNull()).select("node", "check", "place", "text")
+        .repartitionByRange(F.col("place"), F.col("node")).sortWithinPartitions("place", "node", "check")
+    )
+    return sets, placed.drop("place")
+
+
 def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Component of every row of ``docs`` (``doc_id``, ``text``): ``doc_id, n_shingles, component_id, row, keep_row``.
 
@@ -558,16 +646,9 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     nulls aside; ``keep_row`` is the number of the first row with it. Repeated rows link to each
     other. No rows give no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    lead = [T.StructField("doc_id", docs.schema["doc_id"].dataType)]
-    kind, schema = _arrow(_SETS, lead)
-    sets = stored(arrow_map(docs.select("doc_id", "text"), partial(_sets, schema=schema, words=words), kind), "near-sets")
+    sets, placed = _placed(docs, words)
     root_kind, root_schema = _arrow(_ROOTS)
-    placed = (
-        sets.where(F.col("text").isNotNull()).select("node", "check", "place", "text")
-        .repartitionByRange(F.col("place"), F.col("node")).sortWithinPartitions("place", "node", "check")
-    )
-    roots = stored(arrow_map(placed.drop("place"), partial(_roots, schema=root_schema, words=words, percent=percent), root_kind), "near-roots")
+    roots = stored(arrow_map(placed, partial(_roots, schema=root_schema, words=words, percent=percent), root_kind), "near-roots")
     labels = connected(_links(roots, words, percent))
     labelled = roots.select("node", "check", "root").join(
         labels.select(F.col("id").alias("root"), "label"), "root", "left"
@@ -590,3 +671,52 @@ def deduplicate_near(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     found = near_groups(numbered.select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__near").alias("doc_id"), "text"), words, percent)
     kept = found.where(F.col("row") == F.col("keep_row")).select(F.col("doc_id.__near").alias("__near"))
     return numbered.join(kept, "__near", "left_semi").select(*docs.columns)
+
+
+def near_pairs(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Every link between different texts, and which rows have them.
+
+    Texts with the same shingles are one text. The first table, ``doc_id, row, n_shingles, text_id``,
+    has every row of ``docs`` (``text_id`` is null without words), the second, ``text_a, text_b,
+    shared, n_a, n_b``, every pair of texts that share ``percent`` of their united shingles, once
+    and with ``text_a < text_b``. Rows of one ``text_id`` are linked too and not listed.
+    """
+    sets, placed = _placed(docs, words)
+    kind, schema = _arrow(_TEXTS)
+    texts = stored(arrow_map(placed, partial(_linked, schema=schema, words=words, percent=percent), kind), "near-texts")
+    inside = texts.where(F.size("near") > 0).select(F.col("idx").alias("b"), F.explode(F.arrays_zip("near", "near_shared")).alias("p"))
+    inside = inside.select(F.col("p.near").alias("a"), "b", F.col("p.near_shared").alias("shared"))
+    pairs = _allowed(_shared_by_roots(_prefixed(texts, words, percent)), texts.select("idx", "n", "counts"), percent, False)
+    kind, schema = _arrow("a long, b long, shared long")
+    across = arrow_map(
+        _with_texts(pairs.select("a", "b"), texts).select("a", "b", "text_a", "text_b"),
+        partial(_verify_pairs, schema=schema, words=words, percent=percent), kind,
+    )
+    found = inside.unionByName(across).select(F.least("a", "b").alias("text_a"), F.greatest("a", "b").alias("text_b"), "shared")
+    for side in ("a", "b"):
+        found = found.join(texts.select(F.col("idx").alias(f"text_{side}"), F.col("n").alias(f"n_{side}")), f"text_{side}")
+    members = sets.select("doc_id", "row", F.col("n").alias("n_shingles"), "node", "check").join(
+        texts.select("node", "check", F.col("idx").alias("text_id")), ["node", "check"], "left"
+    )
+    return (
+        members.select("doc_id", "row", "n_shingles", "text_id"),
+        stored(found.select("text_a", "text_b", "shared", "n_a", "n_b"), "near-all-links"),
+    )
+
+
+def link_counts(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``doc_id, n_shingles, n_texts, n_links`` of every row: linked other texts, and linked other rows, copies included."""
+    members, pairs = near_pairs(docs, words, percent)
+    members = stored(members, "near-members")
+    copies = members.where(F.col("text_id").isNotNull()).groupBy("text_id").agg(F.count(F.lit(1)).alias("copies"))
+    both = pairs.select(F.col("text_a").alias("text_id"), F.col("text_b").alias("other")).unionByName(
+        pairs.select(F.col("text_b").alias("text_id"), F.col("text_a").alias("other"))
+    )
+    of_text = both.join(copies.withColumnRenamed("text_id", "other"), "other").groupBy("text_id").agg(
+        F.count(F.lit(1)).alias("n_texts"), F.sum("copies").alias("rows")
+    )
+    none = F.lit(0).cast("long")
+    return members.join(copies, "text_id", "left").join(of_text, "text_id", "left").select(
+        "doc_id", "n_shingles", F.coalesce("n_texts", none).alias("n_texts"),
+        (F.coalesce("rows", none) + F.coalesce(F.col("copies") - 1, none)).alias("n_links"),
+    )

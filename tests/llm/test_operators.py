@@ -346,6 +346,45 @@ def test_near_duplicates_of_odd_tables(spark, odd, none):
     assert all(r["n_shingles"] == 0 and r["component_id"] == r["doc_id"] for r in empty)
 
 
+@pytest.mark.parametrize("seed, chunk", [(1, 4096), (2, 16)])
+def test_every_link_equals_brute_force(spark, seed, chunk):
+    texts = near_case(seed)
+    docs, sets = table(spark, texts), [shingles(t) for t in texts]
+    links = {
+        (i, j) for i, a in enumerate(sets) for j, b in enumerate(sets)
+        if i != j and a and b and 100 * len(a & b) >= 75 * len(a | b)
+    }
+    if chunk < 4096:
+        spark.conf.set("spark.sql.shuffle.partitions", str(len(texts) // chunk))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        members, pairs = ngram_join.near_pairs(docs)
+        members, pairs = members.collect(), pairs.collect()
+        counts = {r["doc_id"]: (r["n_texts"], r["n_links"]) for r in ngram_join.link_counts(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    text_of = {r["doc_id"]: r["text_id"] for r in members}
+    assert len(members) == len(texts) and all((text_of[i] is None) == (not s) for i, s in enumerate(sets))
+    want = {tuple(sorted((text_of[i], text_of[j]))) for i, j in links if text_of[i] != text_of[j]}
+    assert sorted((p["text_a"], p["text_b"]) for p in pairs) == sorted(want)
+    of = {t: sets[i] for i, t in text_of.items()}
+    assert all(p["shared"] == len(of[p["text_a"]] & of[p["text_b"]]) and p["n_a"] == len(of[p["text_a"]]) and p["n_b"] == len(of[p["text_b"]]) for p in pairs)
+    linked = collections.Counter(i for i, _ in links)
+    other = collections.Counter(t for pair in want for t in pair)
+    assert counts == {i: (other[text_of[i]], linked[i]) for i in range(len(texts))}
+    # more links than any spanning part of the groups has
+    components = brute_components(texts)[0]
+    groups = collections.Counter(components[i] for i in {t: i for i, t in text_of.items() if t is not None}.values())
+    assert len(pairs) > sum(n - 1 for n in groups.values())
+
+
+def test_links_of_odd_tables(spark, odd, none):
+    assert ngram_join.link_counts(none).count() == 0
+    got = rows_of(ngram_join.link_counts(odd), "doc_id", "n_texts", "n_links")
+    assert len(got) == odd.count() and (0, 0, 0) in got and (8, 1, 1) in got and (10, 0, 1) in got and (77, 0, 1) in got
+
+
 def test_tree_loses_no_pair():
     import numpy as np
 
