@@ -125,7 +125,7 @@ def mix(
     )
 
     budget, documents = min(ratio, max_repeat) * (targets.agg(F.sum("source_size")).first()[0] or 0), timed.count()
-    cut = _cut(timed, budget, math.ceil(math.sqrt(documents)), 1 + 1 / ratio, max_repeat)
+    cut = _cut(timed, budget, math.ceil(math.sqrt(documents)), max_repeat)
     times = F.lit(0)
     for turn in range(max_repeat):
         taken = F.lit(True) if cut is None else _place(_time(turn), turn) < cut
@@ -148,23 +148,21 @@ def _place(time: Column, turn: int | Column) -> Column:
     )
 
 
-def _cut(timed: DataFrame, budget: float, cells: int, latest: float, max_repeat: int) -> Column | None:
+def _cut(timed: DataFrame, budget: float, cells: int, max_repeat: int) -> Column | None:
     """Place of the first entry beyond the budget; None if all fit.
 
-    By virtual time t the queues hold at most t times the budget, and at least that less the
-    largest document of each source, so the cut is between 1 and ``latest``. Entries up to there are
-    counted in cells of equal time; only the cell in which the budget is reached is sorted. Three
-    single rows come to the driver: the crossed cell, and the cut.
+    All entries are counted in cells of equal time, behind time 2 of equal ratio, since a long
+    document can finish late; only the cell in which the budget is reached is sorted. Three single
+    rows come to the driver: the crossed cell, and the cut.
     """
     entries = (
         timed.where((F.col("size") > 0) & (F.col("target") > 0))
         .withColumn("turn", F.explode(F.array(*[F.lit(i) for i in range(max_repeat)])))
         .withColumn("time", F.try_divide(F.col("cumulative") + F.col("turn") * F.col("source_size"), F.col("target")))
-        .where(F.col("time") <= latest)
-        .withColumn("cell", F.floor(F.col("time") * cells))
+        .withColumn("cell", F.floor(F.when(F.col("time") <= 2, F.col("time")).otherwise(1 + F.log2("time")) * cells))
     )
     counted = entries.groupBy("cell").agg(F.sum("size").alias("cell_size"))
-    # about 2 sqrt(documents) rows
+    # a few times sqrt(documents) rows
     before = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     crossed = (
         counted.withColumn("before", F.coalesce(F.sum("cell_size").over(before), F.lit(0)))

@@ -212,6 +212,13 @@ def test_mix_comes_near_its_targets(spark):
     assert 1.5 * total - 60 <= sum(t for _, _, t in once) <= 1.5 * total
 
 
+def test_mix_counts_what_finishes_late(spark):
+    rows = [(i, "w", "a") for i in range(20)] + [(20, " ".join("w" * 30), "b")]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert mixed.where("source = 'b'").first()["taken"] == 30
+    assert mixed.agg(F.sum("taken")).first()[0] == 70
+
+
 def test_mix_of_odd_tables(spark, odd, none):
     got = rows_of(mixing.mix(odd), "doc_id", "size", "taken")
     assert len(got) == odd.count() and (0, 0, 0) in got and (1, 0, 0) in got
