@@ -223,6 +223,13 @@ def _clean(batches: Batches, shared, share: float, spans_only: bool) -> Batches:
                 yield part.filter(pa.array([not b for b in bad], pa.bool_()))
 
 
+def _cut_spans(batches: Batches, schema: pa.Schema) -> Batches:
+    for batch in batches:
+        spans = batch.column("__spans").to_pylist()
+        texts = [without_words(t, [(x["first"], x["end"]) for x in s]) if s else t for t, s in zip(batch.column("text").to_pylist(), spans)]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, f.type) if f.name == "text" else batch.column(f.name) for f in schema], schema=schema)
+
+
 def without_words(text: str, spans: list[tuple[int, int]]) -> str:
     """``text`` without the hit words and what stands between them."""
     raw = text.encode()
@@ -244,21 +251,23 @@ def decontaminate(
     """``docs`` with all columns, free of test passages.
 
     ``remove="documents"`` drops a row if at least ``share`` of its words (and one at least) are
-    hit; ``remove="spans"`` keeps every row and cuts the hit words out of its text. A benchmark of
-    several blocks is applied block by block, for documents by the combined hits.
+    hit; ``remove="spans"`` keeps every row and cuts the hit words out of its text. Of a benchmark of
+    several blocks the combined hits on the original text count.
     """
     spans_only = remove == "spans"
     sets = list(_shared(docs, benchmark, n, block_windows))
-    if len(sets) > 1 and not spans_only:
+    if len(sets) > 1:
         numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate-rows")
         # The row number stands in for the id, so that the scan's result can be joined to the row.
         found = find_contamination(numbered.select(F.col("__row").alias("doc_id"), "text"), benchmark, n, block_windows)
+        if spans_only:
+            spans = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__row"), F.col("spans").alias("__spans"))
+            schema = pa.schema([pa.field(f.name, arrow_type(f.dataType)) for f in docs.schema.fields])
+            return arrow_map(numbered.join(spans, "__row", "left").drop("__row"), partial(_cut_spans, schema=schema), docs.schema)
         hits = hit_words(F.col("spans"))
         bad = found.where((hits > 0) & (F.try_divide(hits, F.col("n_words")) >= share)).select(F.col("doc_id").alias("__row"))
         return numbered.join(bad, "__row", "left_anti").select(*docs.columns)
-    for shared in sets:
-        docs = arrow_map(docs, partial(_clean, shared=shared, share=share, spans_only=spans_only), docs.schema)
-    return docs
+    return arrow_map(docs, partial(_clean, shared=sets[0], share=share, spans_only=spans_only), docs.schema)
 
 
 def items_digest(items) -> F.Column:

@@ -177,6 +177,17 @@ def test_decontaminated_tables(spark, odd, none):
     assert rows_of(small, "doc_id") == [(1,), (2,), (3,)]
 
 
+@pytest.mark.parametrize("block", [1_000_000, 1])
+def test_spans_are_cut_from_the_original_text(spark, block):
+    w = [f"w{i}" for i in range(21)]
+    items = [(1, " ".join(w[:13])), (2, " ".join(w[8:])), (3, "left right")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = table(spark, ["x " + " ".join(w) + " y", "left " + " ".join(w) + " right", None, "clean"])
+    cut = decontaminate.decontaminate(docs, bench, remove="spans", block_windows=block)
+    assert cut.columns == docs.columns
+    assert rows_of(cut, "doc_id", "text", "spans") == [(0, "x  y", "x"), (1, "left  right", "x"), (2, None, "x"), (3, "clean", "x")]
+
+
 # ---- 3 --------------------------------------------------------------------------------------
 
 
