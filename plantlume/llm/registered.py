@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, language, licences, mixing, ngram_join, suffix_dedup, token_count, toxicity
+from . import decontaminate, exact_dedup, html_text, language, licences, mixing, ngram_join, quality, suffix_dedup, token_count, toxicity
 from .common import table
 
 
@@ -74,10 +74,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.recount(table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), remainder(5) != 0)
+    return quality.scores(docs, model).select(
+        "doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_benchmark_decontamination, op3_mixing, op4_language_id, op5_toxicity, op6_ngram_jaccard,
-        op7_license_scan, op8_exact_dedup, op9_suffix_dedup, op10_token_counts,
+        op7_license_scan, op8_exact_dedup, op9_suffix_dedup, op10_token_counts, op11_quality_classifier,
     )
 }

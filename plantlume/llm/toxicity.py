@@ -136,25 +136,27 @@ def train(
         picked = table[grams] * part[:, None]
         return np.stack([np.bincount(owner, picked[:, d], n) for d in range(DIM)], 1).astype(np.float32) * GAIN
 
-    epochs = max(epochs, LEAST_STEPS * 64 // max(1, len(used)))
+    batches = max(1, len(used) // 64)
+    epochs = max(epochs, -(-LEAST_STEPS // batches))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for batch in np.array_split(rng.permutation(used), max(1, len(used) // 64)):
+        for batch in np.array_split(rng.permutation(used), batches):
             grams, part, owner = gathered(batch)
             mean = averages(grams, part, owner, len(batch))
+            touched, place = np.unique(grams, return_inverse=True)
             logits = mean @ softmax + bias
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(batch)), labels[batch]] -= 1
             p *= (weight[labels[batch]] / len(batch))[:, None].astype(np.float32)
             back = (p @ softmax.T) * GAIN
-            grad = np.stack([np.bincount(grams, part * back[owner, d], BUCKETS) for d in range(DIM)], 1).astype(np.float32)
-            grad += decay * table * (grad != 0)
+            grad = np.stack([np.bincount(place, part * back[owner, d], len(touched)) for d in range(DIM)], 1).astype(np.float32)
+            grad += decay * table[touched] * (grad != 0)
             for value, g, s in ((softmax, mean.T @ p, seen[1]), (bias, p.sum(0), seen[2])):
                 s += g * g
                 value -= step * g / np.sqrt(s)
-            seen[0] += (grad * grad).mean(1)
-            table -= step * grad / np.sqrt(seen[0])[:, None]
+            seen[0][touched] += (grad * grad).mean(1)
+            table[touched] -= step * grad / np.sqrt(seen[0][touched])[:, None]
 
     model = Model((table @ (softmax[:, 1] - softmax[:, 0]) * GAIN).astype(np.float32), float(bias[1] - bias[0]))
     odds = model.odds([texts[k] for k in held])
