@@ -99,4 +99,54 @@ best AS (SELECT c, count(*) AS group_size, arg_min(doc_id, (-chars, doc_id)) AS
 SELECT d.doc_id, keep_id, group_size, d.doc_id = keep_id AS kept, sha256(c) AS text_sha256 FROM d JOIN best USING (c)
 """
 
-ORACLES = {"op2_benchmark_decontamination": OP2, "op3_mixing": OP3, "op6_ngram_jaccard": OP6, "op8_exact_dedup": OP8}
+OP12 = r"""
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS family,
+    xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda acc, byte: list_reduce(
+        list_prepend(xor(acc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda x, unused: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) % 4 AS h
+  FROM ids
+),
+own AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+rebuilt AS (
+  SELECT h.conv_id, o.pos, o.role, o.text FROM heads h JOIN own o ON o.conv_id = h.family AND o.pos <= h.h
+  UNION ALL
+  SELECT h.conv_id, o.pos, o.role, o.text FROM heads h JOIN own o ON o.conv_id = h.conv_id AND o.pos > h.h
+),
+lists AS (
+  SELECT i.conv_id, coalesce(l.turns, []) AS turns FROM ids i
+  LEFT JOIN (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS turns FROM rebuilt GROUP BY conv_id) l USING (conv_id)
+),
+prefixes AS (
+  SELECT conv_id, d AS depth, list_slice(turns, 1, d) AS path, d = len(turns) AS ends
+  FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM lists)
+),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256,
+    CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(path[-1]['text'], '[^\x20\x09-\x0D]+')) END AS words
+  FROM prefixes GROUP BY path, depth
+),
+kids AS (SELECT list_slice(path, 1, depth - 1) AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.path = n.path),
+below AS (
+  SELECT list_slice(path, 1, d) AS path, sum((n_children = 0)::BIGINT) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens
+  FROM (SELECT path, n_children, n_convs, words, unnest(range(depth + 1)) AS d FROM full_nodes) GROUP BY 1
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, b.n_leaves::BIGINT AS n_leaves,
+  b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN below b ON b.path = n.path
+LEFT JOIN nodes p ON n.depth > 0 AND p.path = list_slice(n.path, 1, n.depth - 1) AND p.depth = n.depth - 1
+"""
+
+ORACLES = {
+    "op2_benchmark_decontamination": OP2, "op3_mixing": OP3, "op6_ngram_jaccard": OP6, "op8_exact_dedup": OP8,
+    "op12_prefix_trie": OP12,
+}
