@@ -29,7 +29,7 @@ HASHED = 256  # counters of byte trigrams
 HIDDEN = 32
 GATE = 16
 MAX_SAMPLE = 4000  # labelled texts fitted on, half of them of either label where there are enough
-MAX_BYTES = 12 << 20  # and their bytes together
+MAX_BYTES = 8 << 20  # and their bytes together
 LONGEST = 128 << 10  # longer texts are scored but not fitted on
 SLAB_BYTES = 1 << 20
 LEAST_STEPS = 400  # small samples are gone through more often
@@ -85,18 +85,19 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     passage = np.cumsum(cut) - 1
     n = int(passage[-1]) + 1
     at = starts[cut]
-    size = np.diff(np.append(at, len(data)))
-    of_byte = np.repeat(np.arange(n), size)
+    of_byte = np.repeat(np.arange(n), np.diff(np.append(at, len(data))))
+    end = (starts + lengths)[np.append(np.flatnonzero(cut)[1:], len(starts)) - 1]  # blanks behind it belong to no passage
+    size, inside = end - at, np.arange(len(data)) < end[of_byte]
 
     def per_passage(values, owners=passage) -> np.ndarray:
         return np.bincount(owners, values, n)
 
-    counts = np.bincount(of_byte * CLASSES + kind, minlength=n * CLASSES).reshape(n, CLASSES)
+    counts = np.bincount((of_byte * CLASSES + kind)[inside], minlength=n * CLASSES).reshape(n, CLASSES)
     words = np.bincount(passage, minlength=n)
     code = _hashes(data, starts, lengths)
-    same_text = np.concatenate([[False], text_of[1:] == text_of[:-1]])
-    again = same_text & np.concatenate([[False], code[1:] == code[:-1]])
-    pair = code * np.uint64(3) + np.concatenate([[np.uint64(0)], code[:-1]]) * same_text.astype(np.uint64)
+    follows = ~cut
+    again = follows & np.concatenate([[False], code[1:] == code[:-1]])
+    pair = code * np.uint64(3) + np.concatenate([[np.uint64(0)], code[:-1]]) * follows.astype(np.uint64)
     salt = passage.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     fresh = [np.bincount(passage[np.unique(c ^ salt, return_index=True)[1]], minlength=n) for c in (code, pair)]
     lower, upper, marks = (np.add.reduceat(m.astype(np.int64), starts) for m in (kind == 0, kind == 1, kind >= 8))
@@ -114,7 +115,7 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     low = np.where(kind == 1, data + 32, data).astype(np.uint32)
     tri = low[:-2] * np.uint32(0x9E3779B1) + low[1:-1] * np.uint32(0x85EBCA77) + low[2:] * np.uint32(0xC2B2AE3D)
     tri ^= tri >> np.uint32(15)
-    inner = of_byte[:-2] == of_byte[2:]
+    inner = (of_byte[:-2] == of_byte[2:]) & inside[2:]
     slot = (of_byte[:-2] * HASHED + (tri * np.uint32(0x27D4EB2F) >> np.uint32(24)).astype(np.int64))[inner]
     grams = np.bincount(slot, minlength=n * HASHED).reshape(n, HASHED)
     x = np.concatenate([np.sqrt(counts / size[:, None]), stats, np.sqrt(grams / size[:, None])], axis=1).astype(np.float32)
@@ -128,6 +129,18 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return x, owner
 
 
+def encode_all(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``encode`` in groups of about ``SLAB_BYTES``, so that only the features of all texts are held at once."""
+    parts, begin, held = [], 0, 0
+    for k, text in enumerate(texts):
+        held += len(text)
+        if held > SLAB_BYTES // 2 or k + 1 == len(texts):
+            x, owner = encode(texts[begin : k + 1])
+            parts.append((x, owner + begin))
+            begin, held = k + 1, 0
+    return np.concatenate([x for x, _ in parts]), np.concatenate([owner for _, owner in parts])
+
+
 def slabs(text: bytes, most: int = SLAB_BYTES) -> list[bytes]:
     """The text in pieces of about ``most`` bytes that end with a passage; passages are those of the whole text."""
     text = text.strip(SPACES)
@@ -259,7 +272,7 @@ def train(
     if not len(labels) or labels.min() == labels.max():
         return float(labels[0]) if len(labels) else 0.5
     rng = np.random.default_rng(seed)
-    x, owner = encode(texts)
+    x, owner = encode_all(texts)
     model = initial(x, rng)
     first = np.searchsorted(owner, np.arange(len(texts) + 1))
     fitted = [k for k in model.p if k not in ("mean", "scale")]

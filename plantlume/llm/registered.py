@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, language, licences, mixing, ngram_join, prefix_trie, quality, suffix_dedup, token_count, toxicity
+from . import (
+    decontaminate, exact_dedup, hard_negatives, html_text, language, licences, mixing, ngram_join, prefix_trie, quality, suffix_dedup,
+    token_count, toxicity,
+)
 from .common import table
 
 
@@ -86,11 +89,15 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_benchmark_decontamination, op3_mixing, op4_language_id, op5_toxicity, op6_ngram_jaccard,
         op7_license_scan, op8_exact_dedup, op9_suffix_dedup, op10_token_counts, op11_quality_classifier,
-        op12_prefix_trie,
+        op12_prefix_trie, op13_hard_negatives,
     )
 }
