@@ -768,12 +768,17 @@ define(
     " AND NOT EXISTS (SELECT 1 FROM forced_member f WHERE f.iniciativa_id = p.iniciativa_id"
     " AND f.budget_scenario = b.budget_scenario)",
 )
-define(
-    "worthy",
-    "SELECT * FROM open_item o WHERE preblocked IS NULL AND (objective_value_eur > 0 OR objective_value_eur + ("
-    "SELECT max(x.objective_value_eur) FROM open_item x WHERE x.preblocked IS NULL AND x.needs = o.iniciativa_id"
-    " AND x.planta_id = o.planta_id AND x.budget_scenario = o.budget_scenario) > 0)",
-)
+# An open item with all that builds on it, where that adds value: three steps up, more than these tables have.
+define("closure_0", "SELECT *, objective_value_eur AS closure_value FROM open_item WHERE preblocked IS NULL")
+for _step in range(3):
+    define(
+        f"closure_{_step + 1}",
+        "SELECT o.* EXCLUDE (closure_value), o.objective_value_eur + coalesce(g.gain, 0) AS closure_value"
+        f" FROM closure_{_step} o LEFT JOIN (SELECT planta_id, budget_scenario, needs, sum(closure_value) AS gain"
+        f" FROM closure_{_step} WHERE closure_value > 0 GROUP BY ALL) g"
+        " ON g.planta_id = o.planta_id AND g.budget_scenario = o.budget_scenario AND g.needs = o.iniciativa_id",
+    )
+define("worthy", "SELECT * FROM closure_3 WHERE closure_value > 0")
 define(
     "walk_item",
     "SELECT c.*, row_number() OVER (PARTITION BY c.planta_id, c.budget_scenario ORDER BY"
@@ -828,6 +833,102 @@ def portfolio_selection(spark, sf):
     return Layers(spark, sf).selection()
 
 
+# --- best selections per line, against every subset --------------------------------------------
+LINE_LIMITS = {"capex": 3_000_000.0, "opex": 300_000.0, "max_n": 4}
+define(
+    "line_forced",
+    "SELECT p.*, sum(capex_estimado) OVER g AS all_c, sum(implementation_opex) OVER g AS all_o,"
+    " initiative_class IN ('mandatory', 'compliance-driven') AS hard FROM priority p JOIN forced_in USING (iniciativa_id)"
+    " WINDOW g AS (PARTITION BY linea_id)",
+)
+define(
+    "line_trim",
+    "SELECT iniciativa_id FROM (SELECT *, sum(capex_estimado) OVER w - capex_estimado AS left_c,"
+    " sum(implementation_opex) OVER w - implementation_opex AS left_o FROM line_forced WHERE NOT hard"
+    " WINDOW w AS (PARTITION BY linea_id ORDER BY objective_value_eur, iniciativa_id))"
+    " WHERE all_c - left_c > 3000000 OR all_o - left_o > 300000",
+)
+define("line_standing", "SELECT * FROM line_forced WHERE iniciativa_id NOT IN (SELECT iniciativa_id FROM line_trim)")
+define(
+    "line_room",
+    "SELECT l.linea_id, 3000000 - coalesce(s.capex, 0) AS room, 300000 - coalesce(s.opex, 0) AS room_2,"
+    " 4 - coalesce(s.n, 0) AS places, l.minimum, l.minimum - coalesce(s.rel, 0) AS missing, coalesce(s.worth, 0) AS worth,"
+    " coalesce(s.ids, []) AS forced, coalesce(s.rel, 0) AS forced_rel FROM (SELECT linea_id,"
+    " ceil(0.1::DOUBLE * count(*) FILTER (WHERE initiative_class = 'reliability-protection'))::INT AS minimum"
+    " FROM priority GROUP BY 1) l LEFT JOIN (SELECT linea_id, sum(capex_estimado) AS capex, sum(implementation_opex) AS opex,"
+    " count(*) AS n, count(*) FILTER (WHERE initiative_class = 'reliability-protection') AS rel, sum(objective_value_eur) AS worth,"
+    " list(iniciativa_id) AS ids FROM line_standing GROUP BY 1) s USING (linea_id)",
+)
+_NEAR_STANDING = (
+    "EXISTS (SELECT 1 FROM line_standing s WHERE s.linea_id = p.linea_id AND s.categoria_iniciativa = p.categoria_iniciativa"
+    " AND (abs(s.capex_estimado - p.capex_estimado) <= 100000 OR (s.quick_win_flag = 1 AND p.quick_win_flag = 1)))"
+)
+define(
+    "line_open",
+    "SELECT p.linea_id, p.iniciativa_id AS id, p.categoria_iniciativa AS grp, p.capex_estimado AS cost, p.implementation_opex AS cost_2,"
+    " p.objective_value_eur AS value, p.quick_win_flag AS quick, (p.initiative_class = 'reliability-protection')::INT AS kind,"
+    " CASE WHEN d.depends_on_iniciativa_id NOT IN (SELECT iniciativa_id FROM line_standing) THEN d.depends_on_iniciativa_id END AS needs"
+    " FROM priority p LEFT JOIN dependency d USING (iniciativa_id) WHERE p.iniciativa_id NOT IN (SELECT iniciativa_id FROM forced_out)"
+    " AND p.iniciativa_id NOT IN (SELECT iniciativa_id FROM line_forced) AND (d.depends_on_iniciativa_id IS NULL"
+    " OR d.depends_on_iniciativa_id NOT IN (SELECT iniciativa_id FROM forced_out UNION ALL SELECT iniciativa_id FROM line_trim))"
+    f" AND NOT {_NEAR_STANDING}",
+)
+# What costs value, protects nothing and enables nothing is in no best set.
+define(
+    "line_item",
+    "SELECT *, row_number() OVER (PARTITION BY linea_id ORDER BY id) AS rn FROM line_open o WHERE (needs IS NULL OR needs <> id)"
+    " AND (value > 0 OR kind = 1 OR id IN (SELECT needs FROM line_open WHERE needs IS NOT NULL))",
+)
+define(
+    "line_subset",
+    "SELECT linea_id, 0::BIGINT AS rn, 0 AS n, 0::DOUBLE AS cost, 0::DOUBLE AS cost_2, 0::DOUBLE AS value, 0 AS kinds,"
+    " []::STRUCT(id VARCHAR, grp VARCHAR, cost DOUBLE, quick INT)[] AS taken, []::VARCHAR[] AS needs FROM line_room"
+    " WHERE room >= 0 AND room_2 >= 0 AND places >= 0"
+    " UNION ALL SELECT s.linea_id, i.rn, s.n + 1, s.cost + i.cost, s.cost_2 + i.cost_2, s.value + i.value, s.kinds + i.kind,"
+    " list_append(s.taken, {'id': i.id, 'grp': i.grp, 'cost': i.cost, 'quick': i.quick::INT}),"
+    " CASE WHEN i.needs IS NULL THEN s.needs ELSE list_append(s.needs, i.needs) END"
+    " FROM line_subset s JOIN line_room l ON l.linea_id = s.linea_id JOIN line_item i ON i.linea_id = s.linea_id AND i.rn > s.rn"
+    " WHERE s.n < l.places AND len(list_filter(s.taken, lambda t: t.grp = i.grp AND (abs(t.cost - i.cost) <= 100000"
+    " OR (t.quick = 1 AND i.quick = 1)))) = 0",
+)
+define(
+    "line_best",
+    "SELECT s.linea_id, max(s.value) AS value, arg_max(list_transform(s.taken, lambda t: t.id), s.value) AS ids, arg_max(s.kinds, s.value) AS kinds"
+    " FROM line_subset s JOIN line_room l USING (linea_id) WHERE s.cost <= l.room + 1e-6 AND s.cost_2 <= l.room_2 + 1e-6"
+    " AND s.kinds >= l.missing AND list_has_all(list_transform(s.taken, lambda t: t.id), s.needs) GROUP BY 1",
+)
+_LINE_OPTIMUM = (
+    "SELECT l.linea_id, array_to_string(list_sort(list_concat(l.forced, coalesce(b.ids, []))), ',') AS selected,"
+    " CASE WHEN room < 0 OR room_2 < 0 OR places < 0 THEN 'infeasible_forced_constraints' WHEN b.ids IS NULL"
+    " THEN 'infeasible_no_feasible_solution' ELSE 'solved_exact' END AS status, l.worth + coalesce(b.value, 0) AS objective_value_eur,"
+    " l.minimum AS reliability_min, (l.forced_rel + coalesce(b.kinds, 0))::INT AS reliability_selected,"
+    " (len(l.forced) + coalesce(len(b.ids), 0))::INT AS initiatives FROM line_room l LEFT JOIN line_best b USING (linea_id)"
+)
+
+
+@query(
+    "line_portfolio_optimum",
+    final(f"({_LINE_OPTIMUM})", "linea_id selected status objective_value_eur~ reliability_min reliability_selected initiatives", 2),
+    digits=2,
+)
+def line_portfolio_optimum(spark, sf):
+    layers = Layers(spark, sf)
+    budgets = portfolio.what_if_budgets(spark, **LINE_LIMITS).where("budget_scenario = 'base'")
+    best = portfolio.optimal_portfolio(layers.stored("priorities"), layers.dependencies(), budgets, ["linea_id"], 0.1)
+    return best.select(
+        "linea_id", F.array_join("selected", ",").alias("selected"), "status", "objective_value_eur", "reliability_min",
+        "reliability_selected", "initiatives",
+    )
+
+
+@query("plant_portfolio_optimum", digits=2)
+def plant_portfolio_optimum(spark, sf):
+    """Every plant and budget scenario, at a minimum that leaves room for other items; no SQL: subsets of hundreds of items."""
+    layers = Layers(spark, sf)
+    best = portfolio.optimal_portfolio(layers.stored("priorities"), layers.dependencies(), layers.budgets(), ["planta_id"], 0.05)
+    return best.drop("nodes", "core_items")
+
+
 define(
     "unlocked",
     "SELECT s.planta_id, s.budget_scenario, sum(p.objective_value_eur) AS v FROM selection s JOIN priority p USING (iniciativa_id)"

@@ -88,3 +88,120 @@ def test_shared_folder_is_required_off_one_machine():
 
     with pytest.raises(ValueError):
         durable_dir(Session())
+
+
+# --- values of closures, best selections ------------------------------------------------------
+def test_walk_takes_chains_and_shared_enablers(spark):
+    chain = [("e1", "p", "a", "discretionary", 100, -1), ("e2", "p", "b", "discretionary", 100, -1), ("d", "p", "c", "discretionary", 100, 500)]
+    assert run(spark, chain, [("e2", "e1"), ("d", "e2")])[0] == {"e1", "e2", "d"}
+    shared = [("s", "p", "a", "discretionary", 100, -10), ("x", "p", "b", "discretionary", 100, 6), ("y", "p", "c", "discretionary", 100, 7)]
+    assert run(spark, shared, [("x", "s"), ("y", "s")])[0] == {"s", "x", "y"}
+
+
+def brute_best(items, needs, limits, gap, share):
+    """Exhaustive search over the open items of one portfolio: value and sets of the best feasible selections."""
+    from itertools import combinations
+    from math import ceil
+
+    rel = {i["id"] for i in items if i["cls"] == "reliability-protection"}
+    missing = ceil(share * len(rel))
+    best, sets = None, []
+    for n in range(limits["max_n"] + 1):
+        for pick in combinations(items, n):
+            ids = {i["id"] for i in pick}
+            if sum(i["cost"] for i in pick) > limits["capex"] + 1e-6 or sum(i["cost_2"] for i in pick) > limits["opex"] + 1e-6:
+                continue
+            if len(ids & rel) < missing or any(d not in ids for i in ids for d in needs.get(i, ())):
+                continue
+            if any(a["grp"] == b["grp"] and (abs(a["cost"] - b["cost"]) <= gap or (a["quick"] and b["quick"])) for a, b in combinations(pick, 2)):
+                continue
+            value = sum(i["value"] for i in pick)
+            if best is None or value > best + 1e-9:
+                best, sets = value, [ids]
+            elif abs(value - best) <= 1e-9:
+                sets.append(ids)
+    return best, sets
+
+
+def random_problem(seed):
+    import random
+
+    rng = random.Random(seed)
+    items = [
+        {"id": f"i{k:02d}", "grp": f"g{rng.randrange(4)}", "cost": float(rng.randrange(50, 900)), "cost_2": float(rng.randrange(-20, 90)),
+         "value": float(rng.randrange(-60, 100)), "quick": int(rng.random() < 0.3), "cls": rng.choice(["reliability-protection", "discretionary", "discretionary"])}
+        for k in range(12)
+    ]
+    needs = {f"i{k:02d}": [f"i{rng.randrange(k):02d}"] for k in range(1, 12) if rng.random() < 0.45}
+    return items, needs, {"capex": float(rng.randrange(900, 2600)), "opex": float(rng.randrange(60, 200)), "max_n": rng.randint(2, 6)}
+
+
+@pytest.mark.parametrize("options", [{}, {"core": 4, "first_core": 3}, {"nodes": 3}])
+def test_best_selection_equals_exhaustive_search(spark, options):
+    from math import ceil
+
+    from plantlume.operators.bounded_search import best_selection
+
+    problems = {f"p{seed}": random_problem(seed) for seed in range(14)}
+    rows, limits = [], []
+    for name, (items, needs, limit) in problems.items():
+        missing = ceil(0.4 * sum(i["cls"] == "reliability-protection" for i in items))
+        limits.append((name, limit["capex"], limit["opex"], float(limit["max_n"]), float(missing)))
+        for i in items:
+            rows.append((name, i["id"], i["grp"], i["value"], i["cost"], i["cost_2"], int(i["cls"] == "reliability-protection"), i["quick"], needs.get(i["id"], [])))
+    limits += [("empty", 10.0, 10.0, 3.0, 0.0), ("hopeless", 10.0, 10.0, 3.0, 1.0)]
+    candidates = spark.createDataFrame(rows, "p string, id string, grp string, value double, cost double, cost_2 double, kind int, quick int, needs array<string>")
+    room = spark.createDataFrame(limits, "p string, room double, room_2 double, places double, missing double")
+    got = {r["p"]: r for r in best_selection(candidates, room, ["p"], 100.0, rounds=3, **options).collect()}
+    assert got.keys() == {r[0] for r in limits}
+    assert (got["empty"]["ids"], got["empty"]["value"]) == ([], 0.0) and got["hopeless"]["value"] is None
+    exact = 0
+    for name, (items, needs, limit) in problems.items():
+        best, sets = brute_best(items, needs, limit, 100.0, 0.4)
+        r = got[name]
+        if not options:
+            assert (r["value"], r["bound"]) == (best, best)
+        if best is None:
+            assert r["value"] is None
+            continue
+        if r["value"] is not None:
+            assert r["value"] <= best + 1e-6 and r["bound"] >= best - 1e-6
+            assert sum(i["value"] for i in items if i["id"] in r["ids"]) == pytest.approx(r["value"])
+            if r["value"] >= r["bound"] - 1e-6:
+                exact += 1
+                assert set(r["ids"]) in sets
+        else:
+            assert r["bound"] is not None and r["bound"] >= best - 1e-6
+    assert exact >= (8 if not options else 1)
+
+
+def optimum(spark, items, needs, share=0.6, **limits):
+    from plantlume.plans.portfolio import optimal_portfolio
+
+    rows = [(i, p, "l", c, 0, k, float(x), 1.0, float(v)) for i, p, c, k, x, v in items]
+    deps = spark.createDataFrame(needs or [("none", "nothing")], "iniciativa_id string, depends_on_iniciativa_id string")
+    budgets = what_if_budgets(spark, **limits).where("budget_scenario = 'base'")
+    return {r["planta_id"]: r for r in optimal_portfolio(spark.createDataFrame(rows, ITEM), deps, budgets, ["planta_id"], share).collect()}
+
+
+def test_optimum_keeps_the_reliability_minimum(spark):
+    """A minimum that costs value is met; one that can't be met leaves the forced set alone."""
+    items = [(f"r{k}", "p", f"c{k}", "reliability-protection", 100, -5 - k) for k in range(5)] + [("good", "p", "x", "discretionary", 100, 50)]
+    items += [("f", "q", "a", "mandatory", 100, 1), ("r", "q", "b", "reliability-protection", 9_000_000, 5), ("g", "q", "c", "discretionary", 100, 9)]
+    items += [("m", "z", "a", "mandatory", 9_000_000, 1), ("g2", "z", "c", "discretionary", 100, 9)]
+    got = optimum(spark, items, [])
+    assert got["p"]["selected"] == ["good", "r0", "r1", "r2"] and got["p"]["status"] == "solved_exact"
+    assert (got["p"]["reliability_min"], got["p"]["reliability_selected"], got["p"]["gap_pct"]) == (3, 3, 0.0)
+    assert (got["q"]["selected"], got["q"]["status"]) == (["f"], "infeasible_no_feasible_solution")
+    assert (got["z"]["selected"], got["z"]["status"]) == (["m"], "infeasible_forced_constraints")
+
+
+def test_optimum_beats_the_walk(spark):
+    """One item of high density leaves no room for two that are worth more together; enablers go with what they enable."""
+    items = [("dense", "p", "a", "discretionary", 100, 60), ("x", "p", "b", "discretionary", 110, 50), ("y", "p", "c", "discretionary", 110, 50)]
+    items += [("e1", "q", "a", "discretionary", 100, -1), ("e2", "q", "b", "discretionary", 100, -1), ("d", "q", "c", "discretionary", 100, 500)]
+    items += [("s", "r", "a", "discretionary", 100, -10), ("u", "r", "b", "discretionary", 100, 6), ("v", "r", "c", "discretionary", 150, 7)]
+    needs = [("e2", "e1"), ("d", "e2"), ("u", "s"), ("v", "s")]
+    got = optimum(spark, items, needs, capex=300.0)
+    assert got["p"]["selected"] == ["x", "y"] and got["q"]["selected"] == ["d", "e1", "e2"] and got["r"]["selected"] == []
+    assert optimum(spark, items, needs, capex=400.0)["r"]["selected"] == ["s", "u", "v"]
