@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, release
 from .ordering import top_per_group
 
 PRICES = ("on_cost", "on_cost_2", "on_place", "on_kind")
@@ -48,18 +48,17 @@ def _room(limits_price: Column) -> Column:
     )
 
 
-def _trials(unit: dict[str, Column]) -> Column:
+def _trials(unit: dict[str, str]) -> Column:
     """Prices to try: those at hand, and each of them varied alone (from a unit where it is zero)."""
 
-    def varied(name: str, value: Column) -> Column:
-        return F.struct(*[(value if p == name else F.col("price")[p]).alias(p) for p in PRICES])
+    def prices(changed: str = "", value: str = "") -> str:
+        return "named_struct(" + ", ".join(f"'{p}', {value if p == changed else f'price.{p}'}" for p in PRICES) + ")"
 
-    tried = [F.col("price")]
-    for name in PRICES:
-        now = F.col("price")[name]
-        for factor, opener in zip(FACTORS, OPENERS):
-            tried.append(varied(name, F.when(now > 0, now * factor).otherwise(unit[name] * opener)))
-    return F.array(*tried)
+    tried = [prices()] + [
+        prices(name, f"CASE WHEN price.{name} > 0 THEN price.{name} * {factor}D ELSE ({unit[name]}) * {opener}D END")
+        for name in PRICES for factor, opener in zip(FACTORS, OPENERS)
+    ]
+    return F.expr(f"array({', '.join(tried)})")
 
 
 def lagrangian(items: DataFrame, limits: DataFrame, keys: Sequence[str], rounds: int = ROUNDS) -> DataFrame:
@@ -73,27 +72,27 @@ def lagrangian(items: DataFrame, limits: DataFrame, keys: Sequence[str], rounds:
     for turn in range(rounds + 1):
         trials = F.array(F.col("price")) if turn == 0 else _trials(
             {
-                "on_cost": F.greatest("bound", F.lit(1.0)) / F.greatest("room", F.lit(1.0)),
-                "on_cost_2": F.greatest("bound", F.lit(1.0)) / F.greatest("room_2", F.lit(1.0)),
-                "on_place": F.greatest("bound", F.lit(1.0)) / F.greatest("places", F.lit(1.0)),
-                "on_kind": F.when(F.col("missing") > 0, F.greatest("bound", F.lit(1.0))).otherwise(0.0),
+                "on_cost": "greatest(bound, 1D) / greatest(room, 1D)", "on_cost_2": "greatest(bound, 1D) / greatest(room_2, 1D)",
+                "on_place": "greatest(bound, 1D) / greatest(places, 1D)", "on_kind": "CASE WHEN missing > 0 THEN greatest(bound, 1D) ELSE 0D END",
             }
         )
         varied = state.select(*keys, "room", "room_2", "places", "missing", F.posexplode(trials).alias("trial", "tried"))
-        tried = durable(varied.withColumnRenamed("tried", "price"), "prices")
+        tried = varied.withColumnRenamed("tried", "price")
         best = (
             items.join(tried.select(*keys, "trial", "price"), list(keys))
             .groupBy(*keys, "trial", "clique").agg(F.max(reduced()).alias("r"))
             .groupBy(*keys, "trial").agg(F.sum(F.greatest("r", F.lit(0.0))).alias("sum"))
         )
         rated = tried.join(best, [*keys, "trial"], "left").withColumn("bound", F.coalesce("sum", F.lit(0.0)) + _room(F.col("price")))
-        state = durable(
+        best_yet = durable(
             rated.groupBy(*keys).agg(
                 *[F.first(c).alias(c) for c in ("room", "room_2", "places", "missing")],
                 F.min(F.struct("bound", "trial", "price")).alias("best"),
             ).select(*keys, "room", "room_2", "places", "missing", "best.price", "best.bound"),
             "bounds",
         )
+        release(state)
+        state = best_yet
     return state
 
 

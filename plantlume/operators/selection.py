@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import durable, release
 from .ordering import top_per_group, with_running_sum
 
 
@@ -142,7 +142,7 @@ def take_if_fits(
     pool = pool.join(needed, [*keys, "needs"], "left").where(F.col("needs").isNull() | (F.col("needs_place") < F.col("place")))
     pool = durable(pool, "candidates")
     no_place = F.lit(None).cast(pool.schema["place"].dataType)
-    current = durable(state.withColumn("behind", no_place), "selection")
+    previous = current = durable(state.withColumn("behind", no_place), "selection")
     while True:
         open_state = F.col("state.n") < F.col("state.max_n")
         fitting = (
@@ -166,8 +166,11 @@ def take_if_fits(
             ),
             "selection",
         )
-        current = moved.drop("__moved")
-        if moved.where("__moved").isEmpty():
+        ended = moved.where("__moved").isEmpty()
+        release(previous)
+        previous, current = moved, moved.drop("__moved")
+        if ended:
+            release(pool)
             return current.drop("behind")
 
 

@@ -1,7 +1,7 @@
 """Objects that several queries share.
 
 As in the data model, the marts and the scenario cube are tables: they are written once per
-session to the shared folder and read by everything above them.
+session and state of the input files to the shared folder and read by everything above them.
 """
 
 from __future__ import annotations
@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans import diagnostics, emissions, features, kpis, marts, portfolio, scenario
-from ..session import durable
-from .roles import role
+from ..session import durable, inputs_of, is_stored
+from .roles import SOURCES, role
 
-_TABLES: dict[tuple[str, str, str], DataFrame] = {}
+_TABLES: dict[tuple, DataFrame] = {}
 
 
 class Layers:
@@ -20,14 +20,15 @@ class Layers:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.inputs = inputs_of(spark, [f"{sf_dir}/{name}.parquet" for name in SOURCES])
 
     def role(self, name: str) -> DataFrame:
         return role(self.spark, self.sf_dir, name)
 
     def stored(self, name: str) -> DataFrame:
-        """The object ``name`` as a written table."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
-        if key not in _TABLES:
+        """The object ``name`` as a written table, built again once its input files have changed or its scope has ended."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.inputs, name)
+        if key not in _TABLES or not is_stored(_TABLES[key]):
             _TABLES[key] = durable(getattr(self, name)(), name)
         return _TABLES[key]
 

@@ -198,7 +198,7 @@ def test_optimum_keeps_the_reliability_minimum(spark):
 
 def test_optimum_beats_the_walk(spark):
     """One item of high density leaves no room for two that are worth more together; enablers go with what they enable."""
-    items = [("dense", "p", "a", "discretionary", 100, 60), ("x", "p", "b", "discretionary", 110, 50), ("y", "p", "c", "discretionary", 110, 50)]
+    items = [("dense", "p", "a", "discretionary", 200, 95), ("x", "p", "b", "discretionary", 110, 50), ("y", "p", "c", "discretionary", 110, 50)]
     items += [("e1", "q", "a", "discretionary", 100, -1), ("e2", "q", "b", "discretionary", 100, -1), ("d", "q", "c", "discretionary", 100, 500)]
     items += [("s", "r", "a", "discretionary", 100, -10), ("u", "r", "b", "discretionary", 100, 6), ("v", "r", "c", "discretionary", 150, 7)]
     needs = [("e2", "e1"), ("d", "e2"), ("u", "s"), ("v", "s")]
