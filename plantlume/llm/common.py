@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from ..session import durable_dir
+from ..session import durable
 
 BATCH_ROWS = 10_000
 BATCH_BYTES = 8 << 20
@@ -45,12 +43,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as compressed Parquet in the shared folder and read it back.
 
     The copy survives lost executors, and row numbers or sampled borders in it can't change
-    between two readers.
+    between two readers. ``release`` deletes it once it has been read for the last time.
     """
-    spark = df.sparkSession
-    path = os.path.join(durable_dir(spark), "llm", f"{name}-{uuid.uuid4().hex}")
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return durable(df, name, "llm", "zstd")
 
 
 def texts_of(column: pa.Array) -> list[bytes | None]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import release
 from .common import stored
 
 
@@ -28,13 +29,15 @@ def connected(links: DataFrame) -> DataFrame:
         large = _stars(both).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = stored(large.where(F.col("a") != F.col("b")).distinct(), "links")
         small = _stars(down)
-        edges = stored(
+        shorter = stored(
             small.select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(small.select("a", F.col("m").alias("b")))
             .where(F.col("a") != F.col("b"))
             .distinct(),
             "links",
         )
+        release(edges, down)
+        edges = shorter
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             break

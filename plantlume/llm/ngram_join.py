@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import release
 from .common import Batches, arrow_map, arrow_type, row_numbers, stored
 from .components import connected
 
@@ -622,8 +623,12 @@ def _links(roots: DataFrame, words: int, percent: int) -> DataFrame:
     rest = rest.select("a", "b", F.col("label_a").alias("root_a"), F.col("label_b").alias("root_b"))
     large = crossing.where(F.col("other").isNull()).join(labels.select(F.col("id").alias("root"), "label"), "root", "left")
     still = _shared_by_roots(large.select("hash", "idx", F.coalesce("label", "root").alias("root")))
-    rest = rest.unionByName(_allowed(still, facts, percent, False).drop("rank")).where(F.col("root_a") != F.col("root_b")).dropDuplicates(["a", "b"])
-    return first.unionByName(verified(rest))
+    more = _allowed(still, facts, percent, False)
+    release(crossing, still)
+    rest = rest.unionByName(more.drop("rank")).where(F.col("root_a") != F.col("root_b")).dropDuplicates(["a", "b"])
+    second = verified(rest)
+    release(pairs, chosen, labels, more)
+    return first.unionByName(second)
 
 
 def _placed(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
@@ -649,12 +654,17 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     sets, placed = _placed(docs, words)
     root_kind, root_schema = _arrow(_ROOTS)
     roots = stored(arrow_map(placed, partial(_roots, schema=root_schema, words=words, percent=percent), root_kind), "near-roots")
+    digests = stored(sets.select("doc_id", "row", "n", "node", "check"), "near-digests")
+    release(sets)  # its texts are in the roots
     labels = connected(_links(roots, words, percent))
-    labelled = roots.select("node", "check", "root").join(
-        labels.select(F.col("id").alias("root"), "label"), "root", "left"
-    ).select("node", "check", F.coalesce("label", "root").alias("label"))
-    rows = sets.select("doc_id", "row", "n", "node", "check").join(stored(labelled, "near-labelled"), ["node", "check"], "left")
-    rows = stored(rows.select("doc_id", "row", "n", "label"), "near-rows")
+    labelled = stored(
+        roots.select("node", "check", "root").join(labels.select(F.col("id").alias("root"), "label"), "root", "left")
+        .select("node", "check", F.coalesce("label", "root").alias("label")),
+        "near-labelled",
+    )
+    release(roots)
+    rows = stored(digests.join(labelled, ["node", "check"], "left").select("doc_id", "row", "n", "label"), "near-rows")
+    release(digests, labelled)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     groups = stored(rows.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(first).alias("first")), "near-groups")
     own = F.col("label").isNull()

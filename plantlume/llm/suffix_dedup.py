@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import release
 from .common import Batches, arrow_map, arrow_type, stored
 
 LENGTH = 200
@@ -343,12 +344,15 @@ def _among(anchor: np.ndarray, hot: np.ndarray) -> np.ndarray:
 _WINDOWS = "anchor long, print long, row long, first int, at int, window long"
 
 
-def _scan_windows(batches: Batches, schema: pa.Schema, hot, hot_rows, length: int) -> Batches:
-    """A hash of every window of the runs at hot anchors."""
-    hot, anchors, row_bits = hot.value, Anchors(length), np.frombuffer(hot_rows.value, np.uint8)
+def _scan_windows(batches: Batches, schema: pa.Schema, hot, wanted, hot_rows, length: int) -> Batches:
+    """A hash of every window of the leading runs at hot anchors; copies of a run stay out."""
+    hot, anchors = hot.value, Anchors(length)
+    bits, row_bits = (np.frombuffer(b.value, np.uint8) for b in (wanted, hot_rows))
     for rows, texts in _only(_chunks(batches), row_bits):
         owner, anchor, print_, first, last, _, raw, begins = anchors.runs(texts)
-        k = np.flatnonzero(_among(anchor, hot)) if len(anchor) else np.empty(0, np.int64)
+        if not len(anchor):
+            continue
+        k = np.flatnonzero(_among(anchor, hot) & _has(bits, run_key(print_, rows[owner], (first - begins[owner]).astype(np.int32))))
         if not len(k):
             continue
         hashes = mix64(Anchors._rolled(raw.astype(np.uint64) + np.uint64(1), length))
@@ -457,12 +461,14 @@ def _spans(numbered: DataFrame, length: int, keep: str, hot_prints: int, most_ho
     wanted, wanted_rows = share(_bit_table(odd, F.col("key"))), share(_bit_table(grouped.where("leads"), F.col("row_key")))
     scan = partial(_scan_contexts, schema=context_schema, wanted=wanted, wanted_rows=wanted_rows, hot=shared_hot, length=length)
     laid = arrow_map(texts, scan, context_kind).repartition("anchor").sortWithinPartitions("anchor", "print", "row", "first")
-    hits = arrow_map(laid, partial(_match, schema=hit_schema, length=length), hit_kind)
+    hits, windows = arrow_map(laid, partial(_match, schema=hit_schema, length=length), hit_kind), []
     if len(hot):
         names = spark.createDataFrame([(int(x),) for x in hot.view(np.int64)], "anchor long")
-        hot_rows = share(_bit_table(grouped.join(F.broadcast(names), "anchor"), F.col("row_key")))
-        hits = hits.unionByName(_hot_hits(texts, shared_hot, hot_rows, length))
+        hot_rows = share(_bit_table(grouped.where("leads").join(F.broadcast(names), "anchor"), F.col("row_key")))
+        of_hot, windows = _hot_hits(texts, shared_hot, wanted, hot_rows, length)
+        hits = hits.unionByName(of_hot)
     hits = stored(hits, "suffix-hits")
+    release(*windows)
 
     field = "other" if keep == "none" else "earlier"
     everything = F.col("whole") if keep == "none" else F.col("whole") & ~F.col("leads")
@@ -471,7 +477,9 @@ def _spans(numbered: DataFrame, length: int, keep: str, hot_prints: int, most_ho
         grouped.where(~everything).join(hits.select("anchor", "print", F.col(field).alias("h")), ["anchor", "print"])
         .select("row", F.transform("h", lambda h: F.struct((F.col("first") + h["a"]).alias("a"), (F.col("first") + h["b"]).alias("b"))).alias("s"))
     )
-    return full.unionByName(part).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans"))
+    spans = stored(full.unionByName(part).groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("spans")), "suffix-spans")
+    release(grouped, hits)
+    return spans
 
 
 def _bit_table(df: DataFrame, key: F.Column) -> bytes:
@@ -486,10 +494,10 @@ def _bit_table(df: DataFrame, key: F.Column) -> bytes:
     return bytes(table)
 
 
-def _hot_hits(texts: DataFrame, hot, hot_rows, length: int) -> DataFrame:
+def _hot_hits(texts: DataFrame, hot, wanted, hot_rows, length: int) -> tuple[DataFrame, list[DataFrame]]:
     """The same for anchors with very many prints: windows are counted by hash, in as many tasks as it takes."""
     kind, schema = _arrow(_WINDOWS)
-    windows = arrow_map(texts, partial(_scan_windows, schema=schema, hot=hot, hot_rows=hot_rows, length=length), kind)
+    windows = arrow_map(texts, partial(_scan_windows, schema=schema, hot=hot, wanted=wanted, hot_rows=hot_rows, length=length), kind)
     by_print = windows.groupBy("anchor", "window", "print", "at").agg(F.min(F.struct("row", "first")).alias("place"))
     by_print = stored(by_print, "suffix-windows")
     # one row per window and print, so a hash shared by all prints is still counted in parts first
@@ -498,10 +506,11 @@ def _hot_hits(texts: DataFrame, hot, hot_rows, length: int) -> DataFrame:
         "suffix-windows",
     )
     found = by_print.join(counted, ["anchor", "window"]).withColumn("is_earlier", F.col("place") > F.col("first_place"))
-    return found.groupBy("anchor", "print").agg(
+    ranges = found.groupBy("anchor", "print").agg(
         F.coalesce(_ranges_of(F.when(F.col("is_earlier"), F.col("at"))), F.array().cast("array<struct<a:int,b:int>>")).alias("earlier"),
         _ranges_of("at").alias("other"),
     )
+    return ranges, [by_print, counted]
 
 
 def _covered(spans, size: int, length: int) -> list[tuple[int, int]]:
