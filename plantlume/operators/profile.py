@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,20 +25,79 @@ def duplicate_rows(df: DataFrame, keys: Sequence[str], out: str = "duplicates")
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias(out))
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
-    """(columna, value, n) of the given columns, cast to ``kind``.
+CELLS = "place int, a long, b long, x double, n long"
+HELD_ROWS = 400_000  # rows whose cells a task holds before it counts them
 
-    One scan serves all columns; equal values are combined on the map side.
+
+def cell_counts(df: DataFrame) -> DataFrame:
+    """``CELLS``: how often each value of each column occurs (``place``: number of the column), in one scan.
+
+    A value is named by numbers of fixed width: whole numbers by themselves, floating point by
+    its bits, everything else (texts, dates, decimals) by two 64-bit hashes of its typed value, so no
+    text leaves its task. ``x`` is the number of numeric columns. Nulls have no ``a``. Tasks count column
+    by column in arrays and send one row per value they hold.
     """
-    cells = F.array(
-        *[F.struct(F.lit(c).alias("columna"), F.col(c).cast(kind).alias("value")) for c in columns]
-    )
-    return (
-        df.select(F.explode(cells).alias("c"))
-        .select("c.*")
-        .groupBy("columna", "value")
-        .agg(F.count("*").alias("n"))
-    )
+    lanes, kinds = [], []
+    for i, f in enumerate(df.schema):
+        c = F.col(f"`{f.name}`")
+        number = isinstance(f.dataType, T.NumericType)
+        if isinstance(f.dataType, T.IntegralType):
+            lanes.append(c.cast("long").alias(f"a{i}"))
+            kinds.append("whole")
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            lanes.append(c.cast("double").alias(f"a{i}"))
+            kinds.append("real")
+        else:
+            lanes += [F.when(c.isNotNull(), F.xxhash64(c)).alias(f"a{i}"), F.xxhash64(F.lit(i), c).alias(f"b{i}")]
+            if number:
+                lanes.append(c.cast("double").alias(f"x{i}"))
+            kinds.append("number" if number else "other")
+    counted = df.select(*lanes).mapInArrow(partial(_count_cells, kinds=kinds), CELLS)
+    return counted.groupBy("place", "a", "b", "x").agg(F.sum("n").alias("n"))
+
+
+def _count_cells(batches: Iterator[pa.RecordBatch], kinds: list[str]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("place", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("x", pa.float64()), ("n", pa.int64())])
+
+    def counted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+
+        def numbers(name: str) -> np.ndarray:
+            return table.column(name).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
+
+        for i, kind in enumerate(kinds):
+            known = pc.is_valid(table.column(f"a{i}")).to_numpy()
+            a = numbers(f"a{i}")[known]
+            if kind == "real":  # one name for both zeros and for all that is not a number
+                a = np.where(np.isnan(a), np.nan, a + 0.0).view(np.int64)
+            if kind in ("whole", "real"):
+                a, n = np.unique(a, return_counts=True)
+                b = np.zeros(len(a), np.int64)
+                x = a.astype(np.float64) if kind == "whole" else a.view(np.float64)
+            else:
+                b, x = numbers(f"b{i}")[known], numbers(f"x{i}")[known] if kind == "number" else None
+                order = np.lexsort((b, a))
+                a, b = a[order], b[order]
+                first = np.flatnonzero(np.concatenate([[len(a) > 0], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)])
+                n = np.diff(np.append(first, len(a)))
+                a, b = a[first], b[first]
+                x = pa.nulls(len(a), pa.float64()) if x is None else x[order][first]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(a), i, np.int32)), pa.array(a), pa.array(b), x if isinstance(x, pa.Array) else pa.array(x), pa.array(n.astype(np.int64))],
+                schema=schema,
+            )
+            if not known.all():
+                yield pa.RecordBatch.from_pylist([{"place": i, "n": int((~known).sum())}], schema=schema)
+
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= HELD_ROWS:
+            yield from counted(held)
+            held, rows = [], 0
+    if rows:
+        yield from counted(held)
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -44,30 +107,16 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def column_profile(df: DataFrame, table: str, temporal: Sequence[str] = (), labels: Sequence[str] = ()) -> DataFrame:
     """Null rate, distinct values, extremes and quantiles per column, with the column's role."""
     numeric = numeric_columns(df)
-    other = [c for c in df.columns if c not in numeric]
-    base = [
+    # Both the statistics and the quantiles read the counts.
+    counts = durable(cell_counts(df), "cell-counts")
+    stats = counts.groupBy("place").agg(
         F.sum("n").alias("filas"),
-        (F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("null_rate"),
-        F.count("value").alias("n_unique"),
-    ]
-    whole = [f.name for f in df.schema if isinstance(f.dataType, T.IntegralType)]
-    parts = []
-    # Every kind is counted in its own type, so that large whole numbers stay apart; counts are
-    # stored, since both the statistics and the quantiles read them.
-    for kind, names in (("bigint", whole), ("double", [c for c in numeric if c not in whole])):
-        if not names:
-            continue
-        counts = durable(value_counts(df, names, kind), "value-counts")
-        stats = counts.groupBy("columna").agg(
-            *base, F.min("value").cast("double").alias("min"), F.max("value").cast("double").alias("max")
-        )
-        values = counts.withColumn("value", F.col("value").cast("double"))
-        quantiles = exact_quantiles(values, "value", {"p50": 0.5, "p95": 0.95}, ["columna"], weight="n")
-        parts.append(stats.join(quantiles, "columna", "left"))
-    if other:
-        counts = value_counts(df, other, "string")
-        parts.append(counts.groupBy("columna").agg(*base))
-    profile = stack_rows(*parts)
+        (F.sum(F.when(F.col("a").isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("null_rate"),
+        F.count("a").alias("n_unique"), F.min("x").alias("min"), F.max("x").alias("max"),
+    )
+    quantiles = exact_quantiles(counts.where(F.col("x").isNotNull()), "x", {"p50": 0.5, "p95": 0.95}, ["place"], weight="n")
+    names = F.array(*[F.lit(c) for c in df.columns])
+    profile = stats.join(quantiles, "place", "left").withColumn("columna", F.element_at(names, F.col("place") + 1))
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     dtype = F.create_map(*[F.lit(x) for item in kinds.items() for x in item])[F.col("columna")]
     return profile.select(
@@ -116,12 +165,7 @@ def table_profile(df: DataFrame, table: str, key: Sequence[str], time_columns: S
         else [F.lit(None).cast("string").alias("cobertura_inicio"), F.lit(None).cast("string").alias("cobertura_fin")]
     )
     row = df.agg(F.count("*").alias("filas"), (total / width).alias("null_rate_promedio"), *limits)
-    distinct = (
-        value_counts(df, df.columns, "string")
-        .groupBy("columna")
-        .agg(F.count("value").alias("u"))
-        .agg(F.avg("u").alias("u"))
-    )
+    distinct = cell_counts(df).groupBy("place").agg(F.count("a").alias("u")).agg(F.avg("u").alias("u"))
     return row.select(
         F.lit(table).alias("tabla"),
         F.lit(" + ".join(key)).alias("candidate_key"),

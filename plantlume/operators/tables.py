@@ -84,13 +84,58 @@ def pivot_mean(
     return df.groupBy(*rows).pivot(across, list(values)).agg(F.avg(measure)).fillna(fill, list(values))
 
 
+def _code(c: Column, kind: T.DataType) -> Column:
+    """Canonical text of a value: a letter for its type and digits, or a text behind its length in bytes.
+
+    Floating point is written as three whole numbers: its floor, and twice 53 binary digits of the
+    rest. No part depends on how an engine prints numbers or dates.
+    """
+    text = F.lit
+    if isinstance(kind, T.StringType):
+        out = F.concat(text("s"), F.octet_length(c).cast("string"), text(":"), c)
+    elif isinstance(kind, T.IntegralType):
+        out = F.concat(text("i"), c.cast("string"))
+    elif isinstance(kind, T.BooleanType):
+        out = F.when(c, "b1").when(~c, "b0")
+    elif isinstance(kind, T.DateType):
+        out = F.concat(text("d"), F.unix_date(c).cast("string"))
+    elif isinstance(kind, T.TimestampType):
+        out = F.concat(text("t"), F.unix_micros(c).cast("string"))
+    elif isinstance(kind, T.TimestampNTZType):
+        out = F.concat(text("t"), F.unix_micros(F.convert_timezone(F.lit("UTC"), F.current_timezone(), c).cast("timestamp")).cast("string"))
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        x = c.cast("double")
+        fine = (x - F.floor(x)) * BINARY_DIGITS
+        parts = [F.floor(v).cast("string") for v in (x, fine, (fine - F.floor(fine)) * BINARY_DIGITS)]
+        out = F.when(F.isnan(x), "fn").when(F.abs(x) == float("inf"), F.when(x > 0, "f+").otherwise("f-")).otherwise(
+            F.concat(text("f"), parts[0], text(","), parts[1], text(","), parts[2])
+        )
+    elif isinstance(kind, T.DecimalType):
+        out = F.concat(text("m"), c.cast("string"))
+    elif isinstance(kind, T.ArrayType):
+        items = F.transform(c, lambda x: _code(x, kind.elementType))
+        out = F.concat(text("a"), F.size(c).cast("string"), text(":"), F.array_join(items, ""))
+    else:
+        out = F.concat(text("j"), F.octet_length(F.to_json(c)).cast("string"), text(":"), F.to_json(c))
+    return F.coalesce(out, F.lit("n"))
+
+
+BINARY_DIGITS = float(2**53)
+
+
+def row_code(df: DataFrame) -> Column:
+    """Canonical text of a row: its values by the names of their columns."""
+    return F.concat(*[_code(F.col(f"`{f.name}`"), f.dataType) for f in sorted(df.schema, key=lambda f: f.name)])
+
+
 def fingerprint(df: DataFrame, out: str = "fingerprint") -> DataFrame:
     """Order-free content fingerprint of a table and its row count.
 
     Rows are hashed where they are read. All 256 bits count: eight 32-bit lanes are summed apart,
-    which is all that travels, and the sums are hashed once more.
+    which is all that travels, and the sums are hashed once more. Any engine that writes
+    ``row_code`` gets the same.
     """
-    row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)
+    row = F.sha2(row_code(df), 256)
     lanes = [F.coalesce(F.sum(F.conv(F.substring(row, 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")), F.lit(0)) for k in range(8)]
     joined = F.concat_ws(",", *[lane.cast("string") for lane in lanes])
     return df.agg(F.sha2(joined, 256).alias(out), F.count("*").alias("filas"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("plant_queries", "score_queries", "decision_queries", "governance_queries", "serving_queries")
+_MODULES = ("plant_queries", "score_queries", "decision_queries", "governance_queries", "serving_queries", "staging_queries")
 
 
 def _load() -> None:

@@ -822,8 +822,3 @@ def decision_lineage(spark, sf):
 def dominant_drivers(spark, sf):
     """Leading components as text; number formatting differs between engines, so rows only."""
     return _trace(Layers(spark, sf)).select("recommendation_id", "dominant_drivers")
-
-
-@query("content_versions")
-def content_versions(spark, sf):
-    return lineage.version_map({n: table(spark, sf, n) for n in SOURCES})
