@@ -112,8 +112,12 @@ def top_contributions(contributions: Mapping[str, Column], k: int = 3) -> Column
 
 
 def fixed(c: ColumnLike, digits: int) -> Column:
-    """Plain decimal text with a fixed number of digits."""
-    return col(c).cast(f"decimal(28,{digits})").cast("string")
+    """Plain decimal text with a fixed number of digits.
+
+    The number is first settled at four digits more and then rounded half up as a decimal, so
+    that the last binary digit of a computed figure can't decide a tie.
+    """
+    return col(c).cast(f"decimal(32,{digits + 4})").cast(f"decimal(28,{digits})").cast("string")
 
 
 def grouped_number(c: ColumnLike, digits: int = 0) -> Column:

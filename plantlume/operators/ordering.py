@@ -186,3 +186,21 @@ def capacity_waves(
     wave_2 = top_per_group(others, keys, order, second).select(*on)
     placed = wave_1.withColumn(out, F.lit(labels[0])).unionByName(wave_2.withColumn(out, F.lit(labels[1])))
     return df.join(placed, on, "left").withColumn(out, F.coalesce(F.col(out), F.lit(labels[2])))
+
+
+def steps_down(df: DataFrame, keys: Sequence[str], order: Order, value: str) -> DataFrame:
+    """Rows per key (``initiatives``), and how often ``value`` falls from one row of the order to the next (``rises``).
+
+    Neighbours meet in slices of a range layout; at the borders only the first and last row of
+    each slice are compared, so no key needs one task.
+    """
+    laid = _sliced(df, keys, order, None)
+    before = F.lag(value).over(Window.partitionBy(*keys, "__slice").orderBy("__at"))
+    inside = laid.select(*keys, "__slice", "__at", value, before.alias("__before"))
+    slices = inside.groupBy(*keys, "__slice").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(value) < F.col("__before")).alias("falls"),
+        F.min_by(value, "__at").alias("first"), F.max_by(value, "__at").alias("last"),
+    )
+    joined = slices.withColumn("__before", F.lag("last").over(Window.partitionBy(*keys).orderBy("__slice")))
+    border = (F.col("first") < F.col("__before")).cast("long")
+    return joined.groupBy(*keys).agg(F.sum("n").alias("initiatives"), F.sum(F.col("falls") + F.coalesce(border, F.lit(0))).alias("rises"))

@@ -76,43 +76,31 @@ def outlier_shifts(
     """Median absolute score change of all other rows when the largest value is multiplied.
 
     Compares anchored and min-max scaling. ``band`` names the columns with the low end, the high
-    end and the inversion flag of the anchor. Exactly one row per group is moved, the first by
-    id among equal maxima. All groups share one pass.
+    end and the inversion flag of the anchor, equal within a group. One row with the largest value is
+    moved. Everything is read from (key, value) counts: the other rows are all values with one of
+    the largest taken away, and only the ends of the scale move. An anchored score depends on its
+    own row alone, so no other row changes (NULL where there is none).
     """
-    low, high, invert = (F.col(c) for c in band)
-    raw = F.col("__raw")
-    rows = df.select(*keys, *ids, *band, F.col(value).cast("double").alias("__raw"))
-    peak = top_per_group(
-        rows, keys, [raw.desc_nulls_last(), *[F.col(i).asc() for i in ids]], 1
-    ).select(*keys, *ids, F.lit(1).alias("__peak"))
-    moved = left_on(rows, peak, [*keys, *ids]).withColumn(
-        "__moved", F.when(F.col("__peak") == 1, raw * factor).otherwise(raw)
+    invert = F.col(band[2])
+    counts = (
+        df.select(*keys, *band, F.col(value).cast("double").alias("__raw")).where(F.col("__raw").isNotNull())
+        .groupBy(*keys, *band, "__raw").agg(F.count(F.lit(1)).alias("__n"))
+    )
+    ends = with_group_stats(counts, keys, {"__lo": F.min("__raw"), "__hi": F.max("__raw")})
+    others = ends.withColumn("__n", F.col("__n") - (F.col("__raw") == F.col("__hi")).cast("int")).where("__n > 0")
+    peak = F.col("__hi") * factor
+    ranged = with_group_stats(others, keys, {"__min": F.min("__raw"), "__max": F.max("__raw")}).withColumns(
+        {"__lo2": F.least("__min", peak), "__hi2": F.greatest("__max", peak)}
     )
-    limits = {f"__{end}{c}": f(c) for c in ("__raw", "__moved") for end, f in (("lo", F.min), ("hi", F.max))}
-    ranged = with_group_stats(moved, keys, limits)
-
-    def anchored_change() -> Column:
-        def score(c: str) -> Column:
-            share = 100.0 * (F.col(c) - low) / (high - low)
-            return clip(F.when(invert, 100.0 - share).otherwise(share), 0.0, 100.0)
-
-        return F.abs(score("__moved") - score("__raw"))
 
-    def minmax(c: str) -> Column:
-        plain = scaled_between(c, F.col(f"__lo{c}"), F.col(f"__hi{c}"))
+    def minmax(low: str, high: str) -> Column:
+        plain = scaled_between("__raw", F.col(low), F.col(high))
         return F.when(invert, 100.0 - plain).otherwise(plain)
 
-    changes = ranged.where(F.col("__peak").isNull()).select(
-        *keys,
-        F.explode(
-            F.array(
-                F.struct(F.lit("legacy").alias("scaling"), F.abs(minmax("__moved") - minmax("__raw")).alias("change")),
-                F.struct(F.lit("anchored").alias("scaling"), anchored_change().alias("change")),
-            )
-        ).alias("__c"),
-    ).select(*keys, "__c.*")
-    medians = exact_quantiles(changes, "change", {"shift": 0.5}, [*keys, "scaling"])
-    return medians.groupBy(*keys).agg(
-        F.max(F.when(F.col("scaling") == "legacy", F.col("shift"))).alias("legacy_outlier_median_abs_shift"),
-        F.max(F.when(F.col("scaling") == "anchored", F.col("shift"))).alias("anchored_outlier_median_abs_shift"),
+    changes = ranged.select(*keys, "__n", F.abs(minmax("__lo2", "__hi2") - minmax("__lo", "__hi")).alias("change"))
+    medians = exact_quantiles(changes, "change", {"shift": 0.5}, keys, weight="__n")
+    every = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    return left_on(every, medians, keys).select(
+        *keys, F.col("shift").alias("legacy_outlier_median_abs_shift"),
+        F.when(F.col("shift").isNotNull(), F.lit(0.0)).alias("anchored_outlier_median_abs_shift"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import finance
 from ..functions.expr import lookup
 from ..operators.graph import topological_levels
+from ..operators.tables import edge_ends
 from ..plans import portfolio, scenario
 from .catalog import define, final, query
 from .layers import Layers
@@ -78,6 +79,17 @@ def initiative_conflicts(spark, sf):
     return scenario.conflicts(Layers(spark, sf).value_pool())
 
 
+@query(
+    "conflicts_per_initiative",
+    "SELECT iniciativa_id, count(*) AS conflicts FROM (SELECT iniciativa_id_1 AS iniciativa_id FROM conflict_pair UNION ALL"
+    " SELECT iniciativa_id_2 FROM conflict_pair) GROUP BY 1",
+)
+def conflicts_per_initiative(spark, sf):
+    """Both ends of every conflict under one column, counted."""
+    pairs = scenario.conflicts(Layers(spark, sf).value_pool())
+    return edge_ends(pairs, "iniciativa_id_1", "iniciativa_id_2", "iniciativa_id", []).groupBy("iniciativa_id").agg(F.count("*").alias("conflicts"))
+
+
 define(
     "conflict_sum",
     "SELECT iniciativa_id, sum(conflict_penalty_pct) AS pct FROM ("

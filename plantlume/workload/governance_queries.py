@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.graph import topological_levels
+from ..operators.ordering import steps_down
 from ..operators.profile import column_profile, contract_checks, duplicate_rows, table_profile
 from ..operators.tables import literal_table
 from ..plans import lineage, portfolio, quality, readiness
@@ -818,7 +819,37 @@ def decision_lineage(spark, sf):
     return lineage.decision_lineage(_trace(Layers(spark, sf)))
 
 
-@query("dominant_drivers")
+# Weights of the priority index, in their order.
+_DRIVERS = (
+    ("energy_saving_score", 0.20), ("operational_impact_score", 0.18), ("emissions_reduction_score", 0.10),
+    ("implementation_feasibility_score", 0.14), ("payback_score", 0.12), ("strategic_priority_score", 0.10),
+    ("financial_resilience_score", 0.10), ("uncertainty_index", 0.06),
+)
+
+
+@query(
+    "dominant_drivers",
+    "SELECT recommendation_id, string_agg(name || ':' || v::DECIMAL(32,6)::DECIMAL(28,2)::VARCHAR, ';' ORDER BY v DESC, place) AS dominant_drivers"
+    " FROM (SELECT *, row_number() OVER (PARTITION BY recommendation_id ORDER BY v DESC, place) AS r FROM ("
+    + " UNION ALL ".join(
+        f"SELECT iniciativa_id AS recommendation_id, {i} AS place, '{n}' AS name, {w}::DOUBLE * {n} AS v FROM decided" for i, (n, w) in enumerate(_DRIVERS)
+    )
+    + ")) WHERE r <= 3 GROUP BY 1",
+)
 def dominant_drivers(spark, sf):
-    """Leading components as text; number formatting differs between engines, so rows only."""
     return _trace(Layers(spark, sf)).select("recommendation_id", "dominant_drivers")
+
+
+# --- checks along a ranking and along edges ------------------------------------------------------
+@query(
+    "tiers_down_the_ranking",
+    "SELECT planta_id, count(*) AS initiatives, count(*) FILTER (WHERE tier_no < before) AS rises FROM (SELECT planta_id, tier_no,"
+    " lag(tier_no) OVER (PARTITION BY planta_id ORDER BY improvement_priority_index DESC, iniciativa_id) AS before FROM (SELECT *,"
+    " CASE WHEN improvement_priority_index >= 80 THEN 1 WHEN improvement_priority_index >= 66 THEN 2"
+    " WHEN improvement_priority_index >= 52 THEN 3 ELSE 4 END AS tier_no FROM decided)) GROUP BY 1",
+)
+def tiers_down_the_ranking(spark, sf):
+    """Initiatives of a plant whose tier is better than that of the one ranked before them: none, if tiers follow the index."""
+    done = Layers(spark, sf).stored("prioritization")
+    numbered = done.withColumn("tier_no", F.substring("initiative_tier", -1, 1).cast("int"))
+    return steps_down(numbered, ["planta_id"], [F.desc("improvement_priority_index"), F.asc("iniciativa_id")], "tier_no")
