@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ColumnLike = Column | str
 
@@ -120,6 +121,25 @@ def fixed(c: ColumnLike, digits: int) -> Column:
     return col(c).cast(f"decimal(32,{digits + 4})").cast(f"decimal(28,{digits})").cast("string")
 
 
+def json_text(c: Column, kind: T.DataType, digits: int = 4) -> Column:
+    """JSON of a value with a fixed pattern: numbers as ``fixed`` text, keys in the order of the type, nulls kept."""
+    if isinstance(kind, T.StructType):
+        cells = [F.concat(F.lit(f'"{f.name}":'), json_text(c.getField(f.name), f.dataType, digits)) for f in kind.fields]
+        out = F.concat(F.lit("{"), F.concat_ws(",", *cells), F.lit("}"))
+        return F.when(c.isNull(), "null").otherwise(out)
+    if isinstance(kind, T.ArrayType):
+        items = F.transform(c, lambda x: json_text(x, kind.elementType, digits))
+        return F.coalesce(F.concat(F.lit("["), F.array_join(items, ","), F.lit("]")), F.lit("null"))
+    if isinstance(kind, T.StringType):
+        text = c
+        for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            text = F.replace(text, F.lit(plain), F.lit(escaped))
+        return F.coalesce(F.concat(F.lit('"'), text, F.lit('"')), F.lit("null"))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.coalesce(fixed(c, digits), F.lit("null"))
+    return F.coalesce(c.cast("string"), F.lit("null"))
+
+
 def grouped_number(c: ColumnLike, digits: int = 0) -> Column:
     """Number text with thousands separators."""
     return F.format_number(col(c), digits)

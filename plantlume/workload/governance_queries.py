@@ -38,17 +38,17 @@ def _count_check(name: str, source: str, condition: str, expected: str, detail:
 @query(
     "sql_layer_checks",
     "SELECT 'row_count_int_line_hour' AS check_name, CASE WHEN count(*) > 0 THEN 'OK' ELSE 'ERROR' END AS status,"
-    " count(*)::VARCHAR AS observed, '>0 filas' AS expected, 'Cobertura de integración línea-hora' AS detail FROM int_line_hour"
+    " count(*)::VARCHAR AS observed, '>0 filas' AS expected, 'Filas de la tabla línea-hora' AS detail FROM int_line_hour"
     " UNION ALL "
     + " UNION ALL ".join(
         _count_check(*c)
         for c in (
-            ("null_candidate_keys_int_line_hour", "int_line_hour", "fecha IS NULL OR linea_id IS NULL", "0 nulls", "Claves obligatorias no nulas en integración"),
-            ("sec_rango_mart_line_day", "mart_line", "sec_kwh_ton < 0 OR sec_kwh_ton > 5000", "0 fuera de rango", "SEC dentro de rango razonable"),
-            ("oee_rango_mart_line_day", "mart_line", "oee_synthetic < 0 OR oee_synthetic > 1.1", "0 fuera de rango", "OEE sintético dentro de rango"),
-            ("energy_cost_consistency", "mart_equipment", "consumo_kwh < 0 OR coste_energia_eur < 0", "0 negativos", "Consumo y coste no negativos en equipo-día"),
-            ("capex_payback_positive", "value_pool", "payback_estimado_meses <= 0", "0 no positivos", "Payback válido en value pool"),
-            ("emissions_consistency", "mart_week", "emissions_kg < 0", "0 negativos", "Emisiones no negativas en mart semanal"),
+            ("null_candidate_keys_int_line_hour", "int_line_hour", "fecha IS NULL OR linea_id IS NULL", "0 nulls", "Fecha y línea informadas en cada fila"),
+            ("sec_rango_mart_line_day", "mart_line", "sec_kwh_ton < 0 OR sec_kwh_ton > 5000", "0 fuera de rango", "Consumo específico entre 0 y 5000 kWh/t"),
+            ("oee_rango_mart_line_day", "mart_line", "oee_synthetic < 0 OR oee_synthetic > 1.1", "0 fuera de rango", "OEE calculado entre 0 y 1,1"),
+            ("energy_cost_consistency", "mart_equipment", "consumo_kwh < 0 OR coste_energia_eur < 0", "0 negativos", "Ni energía ni coste bajo cero por equipo y día"),
+            ("capex_payback_positive", "value_pool", "payback_estimado_meses <= 0", "0 no positivos", "Meses de retorno mayores que cero"),
+            ("emissions_consistency", "mart_week", "emissions_kg < 0", "0 negativos", "Kilos de CO2 semanales no bajan de cero"),
         )
     ),
 )
@@ -354,7 +354,7 @@ _ZERO = {
                       "SELECT avg(gross_technical_value_energy) FILTER (WHERE macro_scenario = 'ShockEnergia')"
                       " / avg(gross_technical_value_energy) FILTER (WHERE macro_scenario = 'Base') AS v FROM scenario_cube", "true"),
             _recorded("financial validity", "financial_proxy_risk", "HIGH", "false", "v",
-                      "SELECT 'IRR/VaR y pérdidas usan proxies declarados' AS v", "true"),
+                      "SELECT 'TIR, riesgo y pérdidas son estimaciones declaradas' AS v", "true"),
         ]
     ),
 )
@@ -428,19 +428,25 @@ def _snapshot(layers: Layers):
     )
 
 
+define(
+    "snapshot_row",
+    "SELECT d.*, l.*, i.*, 'anchored_reference_linear' AS score_scaling_method, 'anchored_reference_v1' AS score_scale_version,"
+    " 'screening/pre-feasibility' AS financial_readiness_label FROM (SELECT sum(production_volume) AS production_volume,"
+    " avg(oee_synthetic) AS oee_synthetic, avg(sec) AS sec, sum(loss_value_proxy) AS loss_value_proxy FROM line_scored) d,"
+    " (SELECT count(*) FILTER (WHERE line_criticality_score >= t) AS line_criticality_high, max(t) AS line_criticality_high_threshold"
+    " FROM line_criticality, (SELECT quantile_cont(line_criticality_score, 0.75) AS t FROM line_criticality)) l,"
+    " (SELECT sum(annual_saving_proxy) AS annual_saving_proxy, sum(portfolio_npv_contribution) AS portfolio_npv_risk_adjusted,"
+    " sum(selected_portfolio_flag)::BIGINT AS portfolio_selected, sum(gross_technical_value_base) AS gross_technical_value_all,"
+    " sum(annual_saving_proxy) AS net_captured_value_all, sum(downside_adjusted_value) AS downside_adjusted_value_all,"
+    " sum(cost_of_delay_12m) AS cost_of_delay_12m_all, sum(screening_var_95_npv) AS screening_var_95_npv_all,"
+    " count(*) AS contextual_score_count FROM decided) i",
+)
+
+
 @query(
     "kpi_snapshot",
     final(
-        "(SELECT d.*, l.*, i.*, 'anchored_reference_linear' AS score_scaling_method, 'anchored_reference_v1' AS score_scale_version,"
-        " 'screening/pre-feasibility' AS financial_readiness_label FROM (SELECT sum(production_volume) AS production_volume,"
-        " avg(oee_synthetic) AS oee_synthetic, avg(sec) AS sec, sum(loss_value_proxy) AS loss_value_proxy FROM line_scored) d,"
-        " (SELECT count(*) FILTER (WHERE line_criticality_score >= t) AS line_criticality_high, max(t) AS line_criticality_high_threshold"
-        " FROM line_criticality, (SELECT quantile_cont(line_criticality_score, 0.75) AS t FROM line_criticality)) l,"
-        " (SELECT sum(annual_saving_proxy) AS annual_saving_proxy, sum(portfolio_npv_contribution) AS portfolio_npv_risk_adjusted,"
-        " sum(selected_portfolio_flag)::BIGINT AS portfolio_selected, sum(gross_technical_value_base) AS gross_technical_value_all,"
-        " sum(annual_saving_proxy) AS net_captured_value_all, sum(downside_adjusted_value) AS downside_adjusted_value_all,"
-        " sum(cost_of_delay_12m) AS cost_of_delay_12m_all, sum(screening_var_95_npv) AS screening_var_95_npv_all,"
-        " count(*) AS contextual_score_count FROM decided) i)",
+        "snapshot_row",
         "production_volume~ oee_synthetic~ sec~ loss_value_proxy~ line_criticality_high line_criticality_high_threshold~"
         " annual_saving_proxy~ portfolio_npv_risk_adjusted~ portfolio_selected gross_technical_value_all~"
         " net_captured_value_all~ downside_adjusted_value_all~ cost_of_delay_12m_all~ screening_var_95_npv_all~"

@@ -59,8 +59,7 @@ def _profiles(spark, sf):
         ).alias("defs"),
     )
     segments = (
-        customer.where("c_mktsegment <> 'MACHINERY'")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(F.col("n_regionkey").alias("r_regionkey"), "c_mktsegment")
         .distinct()
         .groupBy("r_regionkey")
@@ -117,7 +116,7 @@ define(
     "profile_taxonomy",
     "SELECT sector_profile_id, 'familia_proceso' AS domain, familia_proceso AS source_value, familia_proceso || '-' || rk AS target_value"
     " FROM profile_family UNION ALL SELECT DISTINCT p.sector_profile_id, 'tipo_equipo', c_mktsegment, lower(c_mktsegment) || '-' || p.rk"
-    " FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN profile p ON p.rk = n_regionkey WHERE c_mktsegment <> 'MACHINERY'"
+    " FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN profile p ON p.rk = n_regionkey"
     " UNION ALL SELECT p.sector_profile_id, t.d, t.v, t.v || '-' || p.rk FROM profile p CROSS JOIN (VALUES "
     + ", ".join(f"('{d}', '{v}')" for d, vs in _FIXED.items() for v in vs) + ") t(d, v)",
 )
@@ -613,7 +612,50 @@ def conditional_insights(spark, sf):
     return serving.conditional_insights(figures)
 
 
-@query("serving_document")
+def _json_sql(fields: str) -> str:
+    """JSON text of a row: ``name~`` a number with two digits, ``name#`` a whole number, ``name`` a text."""
+    cells = []
+    for f in fields.split():
+        c = f.rstrip("~#")
+        value = {"~": f"{c}::DECIMAL(32,6)::DECIMAL(28,2)::VARCHAR", "#": f"{c}::VARCHAR"}.get(f[-1], f"'\"' || {c} || '\"'")
+        cells.append(f"'\"{c}\":' || coalesce({value}, 'null')")
+    return "'{' || " + " || ',' || ".join(cells) + " || '}'"
+
+
+def _list_sql(relation: str, fields: str) -> str:
+    row = _json_sql(fields)
+    first = fields.split()[0].rstrip("~#")
+    return f"(SELECT '[' || coalesce(string_agg({row}, ',' ORDER BY {first}), '') || ']' FROM {relation})"
+
+
+_SNAPSHOT = (
+    "production_volume~ oee_synthetic~ sec~ loss_value_proxy~ line_criticality_high# line_criticality_high_threshold~ annual_saving_proxy~"
+    " portfolio_npv_risk_adjusted~ portfolio_selected# gross_technical_value_all~ net_captured_value_all~ downside_adjusted_value_all~"
+    " cost_of_delay_12m_all~ screening_var_95_npv_all~ contextual_score_count# score_scaling_method score_scale_version"
+    " financial_readiness_label"
+)
+
+
+@query(
+    "serving_document",
+    "SELECT '{\"kpi\":' || (SELECT " + _json_sql(_SNAPSHOT) + " FROM snapshot_row) || ',\"energia_por_linea\":' || "
+    + _list_sql(
+        "(SELECT linea_id, sum(cost_energy_per_unit * production_volume) AS coste_energia_total, avg(sec) AS sec_medio FROM line_scored"
+        " GROUP BY ALL ORDER BY 2 DESC NULLS LAST, 1 LIMIT 10)",
+        "linea_id coste_energia_total~ sec_medio~",
+    )
+    + " || ',\"causas\":' || "
+    + _list_sql(
+        "(SELECT causa_parada, sum(loss_root_cause_score) AS loss_root_cause_score FROM cause_month GROUP BY ALL ORDER BY 2 DESC, 1 LIMIT 8)",
+        "causa_parada loss_root_cause_score~",
+    )
+    + " || ',\"olas\":' || "
+    + _list_sql(
+        "(SELECT portfolio_wave, count(*) AS n_iniciativas FROM decided WHERE selected_portfolio_flag = 1 GROUP BY ALL)",
+        "portfolio_wave n_iniciativas#",
+    )
+    + " || '}' AS documento",
+)
 def serving_document(spark, sf):
     layers = Layers(spark, sf)
     done = layers.stored("prioritization")
@@ -626,7 +668,7 @@ def serving_document(spark, sf):
             "olas": serving.wave_counts(done),
         },
     )
-    return doc.select(F.to_json(F.struct("*")).alias("documento"))
+    return serving.document_text(doc)
 
 
 # --- single operators on the order tables ---------------------------------------------------

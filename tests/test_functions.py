@@ -116,3 +116,17 @@ def test_simple_payback_bounds(spark):
         "0-12 meses", "12-24 meses", "24-48 meses", "48+ meses",
     ]
     assert np.isclose(one(spark, finance.captured_months(F.lit(12), F.lit(2), F.lit(4))), (1 + 2 + 3 + 4) / 4 + 6)
+
+
+def test_json_text_has_a_fixed_pattern(spark):
+    import json
+
+    from plantlume.plans.serving import document_text
+
+    rows = [('quote " back \\ line\n tab\t', 1.005, 3, None, [1.0, None, -0.125], True), (None, None, None, None, None, None), ("é", 2.675, -1, "x", [], False)]
+    df = spark.createDataFrame(rows, "s string, x double, i int, n string, l array<double>, b boolean")
+    got = [r[0] for r in document_text(df).collect()]
+    assert [json.loads(t)["s"] for t in got] == [r[0] for r in rows]
+    assert '"x":1.01' in got[0] and '"l":[1.00,null,-0.13]' in got[0] and '"b":true' in got[0]
+    assert got[1] == '{"s":null,"x":null,"i":null,"n":null,"l":null,"b":null}'
+    assert '"x":2.68' in got[2] and '"l":[]' in got[2]
