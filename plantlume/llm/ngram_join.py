@@ -26,7 +26,6 @@ on the sets at hand and from the prefix buckets for texts of different chunks.
 from __future__ import annotations
 
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,51 +35,72 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import release
-from .common import Batches, arrow_map, arrow_type, row_numbers, stored
+from .common import SPACES, Batches, arrow_map, arrow_type, row_numbers, stored
 from .components import connected
 
 WORDS = 5
 PERCENT = 75
 GROUPS = 64  # of the trees over chunks, where a set is at hand to verify
-FINE_GROUPS = 512  # of the points in prefix buckets, whose pairs must fetch their texts to be verified
+FINE_GROUPS = 512  # of the points in prefix buckets, whose pairs must fetch their texts to be verified, and of pairs that trees leave
+FINEST_GROUPS, LARGE_SET = 4096, 2048  # where both sets have as many shingles
 LEAF = 16
 CHUNK_TEXTS, CHUNK_BYTES = 4096, 24 << 20
 HEAVY_FROM, HEAVY_MOST = 20, 1_000_000  # widely shared shingles known to all tasks: 8 MB at most
-CACHE_WORDS = 300_000
+PIECE, LONG_WORD = 64 << 10, 64
 BUCKET_ROWS = 8192
 SMALL = 12  # rows of a bucket that is resolved into pairs at once
 
 _B = np.uint64(0x9E3779B97F4A7C15)
+_INV = np.uint64(pow(int(_B), -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+_IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACES, np.uint8))
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _M1
     h = (h ^ (h >> np.uint64(27))) * _M2
     return h ^ (h >> np.uint64(31))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 class Shingler:
-    """Sorted distinct shingle hashes of texts; hashes of words are kept between calls."""
+    """Sorted distinct shingle hashes of texts.
+
+    The hash of a word is a polynomial of its bytes, taken from running sums over pieces of
+    ``PIECE`` bytes; words longer than ``LONG_WORD`` are hashed one by one.
+    """
 
     def __init__(self, words: int = WORDS):
-        self.words, self.cache = words, WordHashes()
+        self.words = words
+        self.up, self.down = (np.cumprod(np.full(PIECE + LONG_WORD, base)) for base in (_B, _INV))
+
+    def _word_hashes(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = np.empty(len(starts), np.uint64)
+        cuts = np.searchsorted(starts, np.arange(0, len(raw) + PIECE, PIECE))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if a == b:
+                continue
+            lo = starts[a]
+            first, last = starts[a:b] - lo, np.minimum(ends[a:b] - lo, PIECE + LONG_WORD)
+            total = np.zeros(last[-1] + 1, np.uint64)
+            np.cumsum((raw[lo : lo + last[-1]] + np.uint64(1)) * self.up[: last[-1]], out=total[1:])
+            out[a:b] = (total[last] - total[first]) * self.down[first]
+        out = mix64(out)
+        for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+            out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
+        return out
 
     def __call__(self, texts: list[bytes | None]) -> list[np.ndarray]:
         k = self.words
-        split = [(t or b"").lower().split() for t in texts]  # bytes: A-Z and ASCII white space only
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        ends = np.cumsum(counts)
-        hashes = np.fromiter(map(cache.__getitem__, chain.from_iterable(split)), np.uint64, int(ends[-1]) if len(ends) else 0)
+        joined = b"\n".join([b"", *(t or b"" for t in texts), b""]).lower()  # bytes: A-Z only
+        raw = np.frombuffer(joined, np.uint8)
+        turns = np.flatnonzero(np.diff(_IS_SPACE[raw])) + 1  # begins and ends with a space
+        starts, stops = turns[::2], turns[1::2]
+        hashes = self._word_hashes(raw, starts, stops)
+        sizes = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
+        ends = np.searchsorted(starts, np.cumsum(sizes))
+        counts = np.diff(ends, prepend=0)
         rolled = np.zeros(max(0, len(hashes) - k + 1), np.uint64)
         for i in range(k):
             rolled = rolled * _B + hashes[i : i + len(rolled)]
@@ -168,15 +188,43 @@ def _bounds(points: np.ndarray, i: np.ndarray, corners: np.ndarray, j: np.ndarra
     return out
 
 
-def link_chunk(sets: list[np.ndarray], points: np.ndarray, percent: int, block: int = 64) -> np.ndarray:
-    """Root (least place) of every set of a chunk: linked pairs are joined, joined pairs not verified again."""
+class Refined:
+    """Bounds of pairs that a tree has left, from the counts of more groups; large sets need the most."""
+
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray, fine: np.ndarray, percent: int):
+        self.sizes, self.fine, self.percent = sizes, fine, percent
+        large = np.flatnonzero(sizes >= LARGE_SET)
+        self.place = np.full(len(sets), -1)
+        self.place[large] = np.arange(len(large))
+        self.finest = np.array([counts_of(sets[k], FINEST_GROUPS) for k in large.tolist()]).reshape(len(large), FINEST_GROUPS)
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bound = _bounds(self.fine, i, self.fine, j)
+        i, j, bound = self._allowed(i, j, bound)
+        both = np.flatnonzero((self.place[i] >= 0) & (self.place[j] >= 0))
+        if len(both):
+            finer = _bounds(self.finest, self.place[i[both]], self.finest, self.place[j[both]], 1024)
+            bound[both] = np.minimum(bound[both], finer)
+            i, j, bound = self._allowed(i, j, bound)
+        return i, j, bound
+
+    def _allowed(self, i, j, bound):
+        ok = (100 + self.percent) * bound >= self.percent * (self.sizes[i] + self.sizes[j])
+        return i[ok], j[ok], bound[ok]
+
+
+def link_chunk(sets: list[np.ndarray], points: np.ndarray, fine: np.ndarray, percent: int, block: int = 64) -> np.ndarray:
+    """Root (least place) of every set of a chunk: linked pairs are joined, joined pairs not verified again.
+
+    ``points`` make the tree, the counts ``fine`` of ``FINE_GROUPS`` groups bound the pairs it leaves.
+    """
     m = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    tree, label = Tree(points, sizes), np.arange(m)
+    tree, label, refined = Tree(points, sizes), np.arange(m), Refined(sets, sizes, fine, percent)
     for lo in range(0, m, block):
-        i, j, bound = tree.pairs(lo, min(lo + block, m), percent)
+        i, j, _ = tree.pairs(lo, min(lo + block, m), percent)
         ok = label[i] != label[j]
-        i, j, bound = i[ok], j[ok], bound[ok]
+        i, j, bound = refined(i[ok], j[ok])
         order = np.lexsort((-bound, i))  # the likeliest partner of each set first
         i, j = i[order], j[order]
         cuts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else ()
@@ -293,9 +341,10 @@ def _roots(batches: Batches, schema: pa.Schema, words: int, percent: int) -> Bat
         by_size = _by_size(sizes)
         place = np.empty_like(by_size)
         place[by_size] = np.arange(len(sets))
-        label = link_chunk([sets[k] for k in by_size], np.array([counts_of(sets[k]) for k in by_size]), percent)
+        points = np.array([counts_of(s, FINE_GROUPS) for s in sets])
+        coarse = np.array([counts_of(sets[k]) for k in by_size])
+        label = link_chunk([sets[k] for k in by_size], coarse, points[by_size], percent)
         parent = by_size[label][place]
-        points = [counts_of(s, FINE_GROUPS) for s in sets]
         idx = np.array(row_numbers(made, len(sets)), np.int64)
         shared, roots = _shared(sets, parent, sizes)
         empty = [None] * (len(sets) - 1)
@@ -316,12 +365,13 @@ def _linked(batches: Batches, schema: pa.Schema, words: int, percent: int, block
         order = _by_size(np.array([len(s) for s in sets])).tolist()
         nodes, checks, texts, sets = ([x[k] for k in order] for x in (nodes, checks, texts, sets))
         sizes = np.array([len(s) for s in sets], np.int64)
-        tree = Tree(np.array([counts_of(s) for s in sets]), sizes)
+        fine = np.array([counts_of(s, FINE_GROUPS) for s in sets])
+        tree, refined = Tree(np.array([counts_of(s) for s in sets]), sizes), Refined(sets, sizes, fine, percent)
         idx = np.array(row_numbers(made, len(sets)), np.int64)
         lists = [*_shared(sets, np.arange(len(sets)), sizes)]
         for lo in range(0, len(sets), block):
             hi = min(lo + block, len(sets))
-            i, j, _ = tree.pairs(lo, hi, percent)
+            i, j, _ = refined(*tree.pairs(lo, hi, percent)[:2])
             near, near_shared = [], []
             for a in range(lo, hi):
                 others = j[i == a]
@@ -333,7 +383,7 @@ def _linked(batches: Batches, schema: pa.Schema, words: int, percent: int, block
             lists = [None, None]
             columns = [
                 nodes[lo:hi], checks[lo:hi], idx[lo:hi], np.full(hi - lo, idx[0]), sizes[lo:hi],
-                [counts_of(s, FINE_GROUPS).tobytes() for s in sets[lo:hi]], texts[lo:hi], *first, near, near_shared,
+                [c.tobytes() for c in fine[lo:hi]], texts[lo:hi], *first, near, near_shared,
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
