@@ -30,6 +30,7 @@ FANOUT_BITS = 4
 DEEPEST = 16  # 64 bits of the hash; below that one table takes what is left
 MAP_MEMORY = 32 << 20
 REDUCE_MEMORY = 64 << 20
+MEMBER_BYTES = 200
 
 
 def normal_form(text: bytes | None) -> bytes:
@@ -137,11 +138,18 @@ Record = tuple[bytes, bytes, list]
 def grace(records: Iterator[Record], memory: int, level: int = 0) -> Iterator[tuple[bytes, list]]:
     """Classes of equal contents: digest and the members of each.
 
-    At most ``memory`` bytes of distinct contents are held; beyond that all records go to 16 spill
-    files of this task, by the next four bits of their digest, and each file is a run of its own.
+    At most ``memory`` bytes of distinct contents, members and best rows are held; beyond that all records
+    go to 16 spill files of this task, by the next four bits of their digest, and each file is a run of
+    its own. The best member of a class comes first and alone keeps its columns.
     """
     contents, members, files = ContentTable(), [], None
 
+    def join(known: list, found: list) -> None:
+        for m in found:
+            if m[2] < known[0][2]:
+                known[0], m = m, known[0]
+            known.append((*m[:3], None))
+
     def spill(record: Record) -> None:
         bit = FANOUT_BITS * level
         word = int.from_bytes(record[0][:8], "big") >> (64 - FANOUT_BITS - bit)
@@ -154,8 +162,10 @@ def grace(records: Iterator[Record], memory: int, level: int = 0) -> Iterator[tu
         k, new = contents.find(digest, content)
         if new:
             members.append(found)
+            contents.nbytes += len(content) * (found[0][3] is not None)
         else:
-            members[k] = members[k] + found
+            join(members[k], found)
+        contents.nbytes += MEMBER_BYTES * len(found)
         if contents.nbytes > memory and level < DEEPEST and len(members) > 1:
             files = [tempfile.TemporaryFile() for _ in range(1 << FANOUT_BITS)]
             for k, rows in enumerate(members):
@@ -187,7 +197,7 @@ def _classes(batches: Batches, schema: pa.Schema, with_rows: bool, memory: int)
 
     out, held = [], 0
     for digest, found in grace(records(), memory):
-        best = min(found, key=lambda m: m[2])
+        best = found[0]
         size, (_, null, keep_id, keep_row) = sum(m[1] for m in found), best[2]
         for rep, _, _, row in found:
             out.append({"rep": rep, "keep_id": None if null else keep_id, "keep_row": keep_row, "group_size": size, "sha": digest.hex()})
