@@ -22,7 +22,9 @@ from ..operators.ordering import top_per_group
 UNKNOWN = "und"
 SAMPLE_ROWS = 400  # labelled texts per language, in the order of a hash of the id
 DICTIONARY_BYTES = 96 << 10
-MAX_LANGUAGES = 256  # together 24 MB of dictionaries at most
+ALL_DICTIONARIES = 48 << 20  # shared by all languages, if they are more than 512
+BLOCK_LANGUAGES = 256  # encoders held at once; more languages are tried block by block
+BLOCK_SIZES = 1 << 20  # encoded sizes held at once
 PIECE = 4 << 10  # a text is encoded in pieces, each with the dictionary at hand, and the sizes summed
 LEVEL = 3
 MARGIN = 0.02  # rejected if the second smallest is less than this share larger
@@ -31,14 +33,17 @@ MARGIN = 0.02  # rejected if the second smallest is less than this share larger
 def learn(docs: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries by language from rows of ``docs`` that are ``usable`` and have ``lang`` and text.
 
-    At most ``sample_rows`` whole texts a language are joined into at most ``size`` bytes: an equal
-    share of each from a place within it, so one long text can't fill the dictionary. The rows are
-    chosen by id before any text is read. Only the finished dictionaries reach the driver.
+    At most ``sample_rows`` texts a language that are not empty are joined into at most ``size`` bytes: an
+    equal share of each from a place within it, so one long text can't fill the dictionary. Every
+    language gets a dictionary; very many share ``ALL_DICTIONARIES`` bytes, 1 KB each at least. Only
+    the finished dictionaries reach the driver.
     """
     place = F.xxhash64(F.col("doc_id").cast("string"), F.lit(4))
-    known = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    known = docs.where(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.octet_length("text") > 0))
+    languages = known.select("lang").distinct().count()
+    size = max(min(size, ALL_DICTIONARIES // max(1, languages)), min(size, 1 << 10))
     chosen = top_per_group(known.select("doc_id", "lang").distinct(), ["lang"], [place, F.col("doc_id")], sample_rows)
-    rows = known.select("doc_id", "lang", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"])
+    rows = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"])
     schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("content", T.BinaryType())])
 
     def build(key, frame):
@@ -48,8 +53,8 @@ def learn(docs: DataFrame, usable: Column, sample_rows: int = SAMPLE_ROWS, size:
         return pd.DataFrame({"lang": [key[0]], "content": [raw_content(texts, size)]})
 
     # at most sample_rows texts a group
-    found = rows.groupBy("lang").applyInPandas(build, schema).where(F.length("content") > 0).orderBy("lang").limit(MAX_LANGUAGES)
-    return {r["lang"]: bytes(r["content"]) for r in found.collect()}
+    found = rows.groupBy("lang").applyInPandas(build, schema).where(F.length("content") > 0)
+    return {r["lang"]: bytes(r["content"]) for r in sorted(found.collect(), key=lambda r: r["lang"])}
 
 
 def raw_content(texts: list[bytes], size: int) -> bytes:
@@ -65,29 +70,42 @@ def raw_content(texts: list[bytes], size: int) -> bytes:
     return b"\n".join(cut)[:size]
 
 
-def _encoders(dictionaries: dict[str, bytes]) -> list[zstd.ZstdCompressor]:
+def _encoders(dictionaries: list[bytes]) -> list[zstd.ZstdCompressor]:
     out = []
-    for content in dictionaries.values():
+    for content in dictionaries:
         d = zstd.ZstdCompressionDict(content, dict_type=zstd.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=LEVEL)
         out.append(zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
     return out
 
 
+def _sizes(texts: list[bytes], dictionaries: list[bytes], first: list[zstd.ZstdCompressor]) -> np.ndarray:
+    """Encoded size of each text (rows) with each dictionary; ``first`` are the encoders of the first block."""
+    out = np.empty((len(texts), len(dictionaries)))
+    for lo in range(0, len(dictionaries), BLOCK_LANGUAGES):
+        encoders = _encoders(dictionaries[lo : lo + BLOCK_LANGUAGES]) if lo else first
+        for row, raw in zip(out, texts):
+            pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
+            row[lo : lo + len(encoders)] = [sum(len(e.compress(p)) for p in pieces) for e in encoders]
+    return out
+
+
 def _predict(batches: Batches, dictionaries, schema: pa.Schema, margin: float) -> Batches:
-    names = list(dictionaries.value)
-    encoders = _encoders(dictionaries.value)
-    for batch in batches:
+    names, contents = list(dictionaries.value), list(dictionaries.value.values())
+    first = _encoders(contents[:BLOCK_LANGUAGES])
+    rows = max(1, BLOCK_SIZES // max(1, len(names)))
+    for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
         best, score, rejected = [], [], []
-        for text in batch.column("text").to_pylist():
-            if not text or not any(map(str.isalpha, text)) or not names:
+        texts = batch.column("text").to_pylist()
+        known = [bool(t and names) and any(map(str.isalpha, t)) for t in texts]
+        found = iter(_sizes([t.encode() for t, k in zip(texts, known) if k], contents, first))
+        for usable in known:
+            if not usable:
                 best.append(UNKNOWN)
                 score.append(0.0)
                 rejected.append(True)
                 continue
-            raw = text.encode()
-            pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
-            sizes = np.array([sum(len(e.compress(p)) for p in pieces) for e in encoders], np.float64)
+            sizes = next(found)
             k = int(sizes.argmin())
             second = np.delete(sizes, k).min() if len(sizes) > 1 else 2 * sizes[k]
             odds = np.exp2(-np.minimum(60, 400 * (sizes / sizes[k] - 1) / 8))
