@@ -4,8 +4,12 @@ import collections
 import hashlib
 import random
 import re
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from plantlume.llm import components, decontaminate, exact_dedup, html_text, language, licences, mixing, ngram_join, suffix_dedup, token_count, toxicity
@@ -259,6 +263,45 @@ def test_language_of_held_out_texts(spark):
     assert {row["lang_pred"] for row in language.identify(docs.limit(3), {}).collect()} == {"und"}
 
 
+def test_language_equals_a_loop_over_all_dictionaries(monkeypatch):
+    r = random.Random(61)
+    make = lambda letters, n: " ".join("".join(r.choices(letters, k=r.randint(1, 6))) for _ in range(n))
+    alphabets = ["abcde", "fghij", "abfgk", "xyzuv", "mnopq"]
+    known = {f"l{k}": make(a, 400).encode() for k, a in enumerate(alphabets)}
+    texts = [make(r.choice(alphabets), r.randint(1, 60)) for _ in range(40)] + [make("abcde", 3000), None, "", "7 8"]
+    monkeypatch.setattr(language, "BLOCK_LANGUAGES", 2)  # more languages than a block holds
+    monkeypatch.setattr(language, "BLOCK_SIZES", 60)
+    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    found = [row for b in language._predict(iter([batch]), SimpleNamespace(value=known), schema, 0.02) for row in b.to_pylist()]
+    assert [row["doc_id"] for row in found] == list(range(len(texts)))
+    for row, text in zip(found, texts):
+        if not text or not re.search("[a-z]", text):
+            assert (row["lang_pred"], row["score"], row["rejected"]) == ("und", 0.0, True)
+            continue
+        sizes = {}
+        for name, content in known.items():
+            raw, size = text.encode(), 0
+            while raw:
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                c = zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+                size += len(c.compress(raw[:4096]))
+                raw = raw[4096:]
+            sizes[name] = size
+        least, second = sorted(sizes.values())[:2]
+        assert row["lang_pred"] == min(sizes, key=lambda n: (sizes[n], n))
+        assert row["rejected"] == (second < least * 1.02)
+
+
+def test_language_learns_past_null_texts(spark, monkeypatch):
+    rows = [(i, None, "aa") for i in range(60)] + [(i, "bada gali moda " * 9, "aa") for i in range(60, 64)] + [(70, "zuxe qiwy vo", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = language.learn(docs, F.lit(True), sample_rows=3)
+    assert sorted(known) == ["aa", "bb"] and known["aa"].count(b"bada") == 27
+    monkeypatch.setattr(language, "ALL_DICTIONARIES", 64)  # shared by all; 1 KB each at least
+    assert {n: len(c) for n, c in language.learn(docs, F.lit(True)).items()} == {"aa": 4 * 135 + 3, "bb": 12}
+
+
 # ---- 5 --------------------------------------------------------------------------------------
 
 
@@ -403,9 +446,39 @@ def test_links_of_odd_tables(spark, odd, none):
     assert len(got) == odd.count() and (0, 0, 0) in got and (8, 1, 1) in got and (10, 0, 1) in got and (77, 0, 1) in got
 
 
-def test_tree_loses_no_pair():
-    import numpy as np
+def test_shingles_equal_brute_force():
+    r = random.Random(62)
+    odd = [b"", None, b" \n", b"a", b"A b", b"a B c d e", b"x" * 200_000 + b" y z w v u t", b"\x0b".join(b"q%d" % i for i in range(40_000)),
+           b"\xc3\x84 \xa0 \x1c b c d", b" lead a b c d trail \t", (b"w" * 64 + b" ") * 9 + b"w" * 65 + b" " + b"w" * 65 + b"v"]
+    texts = odd + [b" ".join(r.choice((b"u", b"v", b"W")) for _ in range(r.randint(0, 40))) for _ in range(200)]
+    names = {}
+    for text, got in zip(texts, ngram_join.Shingler()(texts)):
+        w = (text or b"").lower().split()
+        want = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        assert len(got) == len(want) and (got[1:] > got[:-1]).all()
+        for one in want:
+            names.setdefault(one, set()).add(int(ngram_join.Shingler()([b" ".join(one)])[0][0])) if len(want) < 50 else None
+        if len(want) < 50:
+            assert set(got.tolist()) == {h for one in want for h in names[one]}
+    assert all(len(h) == 1 for h in names.values()) and len({h for v in names.values() for h in v}) == len(names)
+
+
+def test_finer_bounds_lose_no_pair():
+    r = np.random.default_rng(63)
+    sets = []
+    for n in (5, 40, 3000, 3000, 20_000, 70_000):
+        base = r.integers(0, 1 << 63, n, np.uint64)
+        sets += [np.unique(np.concatenate([base[: int(n * share)], r.integers(0, 1 << 63, n // 9, np.uint64)])) for share in (1, 0.95, 0.85, 0.7, 0.3)]
+    sets.append(np.zeros(1, np.uint64))
+    sizes = np.array([len(s) for s in sets])
+    fine = np.array([ngram_join.counts_of(s, ngram_join.FINE_GROUPS) for s in sets])
+    i, j = np.tril_indices(len(sets), -1)
+    kept = set(zip(*(x.tolist() for x in ngram_join.Refined(sets, sizes, fine, 75)(i, j)[:2])))
+    linked = {(a, b) for a, b in zip(i.tolist(), j.tolist()) if ngram_join.similar(sets[a], sets[b])}
+    assert linked and linked <= kept and len(kept) < len(i)
 
+
+def test_tree_loses_no_pair():
     r = np.random.default_rng(5)
     sets = [np.unique(r.integers(0, 2**64, n, np.uint64)) for n in (3, 20, 90) for _ in range(30)]
     sets += [np.unique(np.concatenate([s[: int(len(s) * 0.9)], r.integers(0, 2**64, len(s) // 10 + 1, np.uint64)])) for s in sets]
@@ -506,6 +579,18 @@ def test_exact_groups_of_no_rows(none):
     assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.deduplicate(none).count() == 0
 
 
+@pytest.mark.parametrize("memory", [1 << 20, 2000])
+def test_best_member_of_hot_content_comes_first(memory):
+    r = random.Random(81)
+    ids = r.sample(range(20_000), 20_000)
+    records = [(hashlib.sha256(c).digest(), c, [(i, 1, (0, False, i, i), {"text": i})]) for i in ids for c in [b"hot" if i % 3 else b"%d" % (i % 50)]]
+    found = list(exact_dedup.grace(iter(records), memory))
+    assert sum(len(members) for _, members in found) == len(ids) and len({d for d, _ in found}) == len(found)
+    for _, members in found:
+        assert members[0][2] == min(m[2] for m in members) and members[0][3] == {"text": members[0][0]}
+        assert all(m[3] is None for m in members[1:])
+
+
 def test_table_compares_contents():
     table_ = exact_dedup.ContentTable()
     same = b"\0" * 32  # one digest for different contents
