@@ -205,3 +205,12 @@ def test_optimum_beats_the_walk(spark):
     got = optimum(spark, items, needs, capex=300.0)
     assert got["p"]["selected"] == ["x", "y"] and got["q"]["selected"] == ["d", "e1", "e2"] and got["r"]["selected"] == []
     assert optimum(spark, items, needs, capex=400.0)["r"]["selected"] == ["s", "u", "v"]
+
+
+def test_scores_that_differ_in_the_last_bits_rank_by_id(spark):
+    from plantlume.plans.portfolio import PRIORITY_WEIGHTS, weight_sensitivity
+
+    rows = [("a", *[50.0] * 8), ("b", 50.0 + 1e-12, *[50.0] * 7), ("c", 50.1, *[50.0] * 7)]
+    scored = spark.createDataFrame(rows, ["iniciativa_id", *PRIORITY_WEIGHTS])
+    found = weight_sensitivity(scored, {"base": tuple(PRIORITY_WEIGHTS.values())}).collect()
+    assert {r["iniciativa_id"]: r["ranking"] for r in found} == {"c": 1, "a": 2, "b": 3}
