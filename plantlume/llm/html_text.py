@@ -298,7 +298,7 @@ WIDTH, HEIGHT = 1280, 800
 CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])*'?|url\([^)"']*\)|\\.|[{};]|[^/"'u\\{};]+|.""", re.S | re.I)
 _ID = r"(?:\\[0-9a-fA-F]{1,6}\s?|\\.|[\w-]|[^\x00-\x7f])+"
 SIMPLE = re.compile(
-    rf"""(?P<tag>\*|{_ID})|\#(?P<id>{_ID})|\.(?P<class>{_ID})|\[\s*(?P<name>{_ID})\s*(?:(?P<op>[~|^$*]?=)\s*(?:"(?P<one>[^"]*)"|'(?P<two>[^']*)'|(?P<bare>[^\s\]]+))\s*(?P<flag>[is])?\s*)?\]"""
+    rf"""(?P<nest>&)|(?P<tag>\*|{_ID})|\#(?P<id>{_ID})|\.(?P<class>{_ID})|\[\s*(?P<name>{_ID})\s*(?:(?P<op>[~|^$*]?=)\s*(?:"(?P<one>[^"]*)"|'(?P<two>[^']*)'|(?P<bare>[^\s\]]+))\s*(?P<flag>[is])?\s*)?\]"""
     rf"""|(?P<colons>::?)(?P<pseudo>{_ID})(?:\((?P<inside>(?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\))?""", re.X | re.S)
 ESCAPE = re.compile(r"\\(?:([0-9a-fA-F]{1,6})\s?|(.))", re.S)
 COMBINATOR = re.compile(r"\s*([>+~])\s*|\s+")
@@ -308,7 +308,10 @@ DYNAMIC = set("hover focus active focus-within focus-visible target visited full
 OLD_ELEMENTS = {"before", "after", "first-line", "first-letter"}
 #: at-rules whose bodies hold no rules for elements
 OTHER_BODIES = set("keyframes font-face page counter-style property font-feature-values font-palette-values view-transition starting-style position-try".split())
-MOST_SELECTOR_CHARS, MOST_ANCESTORS, MOST_STEPS = 20_000, 256, 2_000_000
+#: chains of compounds and of nested rules are settled for the whole page in steps of this length, so that no recursion is deep
+STRIDE = 6
+#: truths kept for a page before those that can be found again are dropped
+KEPT = 2_000_000
 SHOWN, GONE = "shown", "none"
 
 
@@ -407,12 +410,21 @@ def _unescape(name: str) -> str:
 
 
 class Selector:
-    """Compounds of a selector from the right, each with the combinator to its right; None-valued where unknown."""
+    """Compounds of a selector from the right, each with the combinator to its right; None-valued where unknown.
 
-    def __init__(self, text: str, depth: int = 0):
+    ``nest`` are the selectors of the rule around it: ``&`` stands for any of them, and without one
+    the selector is about their descendants.
+    """
+
+    def __init__(self, text: str, depth: int = 0, nest: list[Selector] | None = None):
         self.parts: list[tuple[str, list[tuple]]] = []
         self.weight = [0, 0, 0]
+        self.nest, self.nested = nest, False
+        self.inside: list[Selector] = []  # selectors in brackets, the innermost first
         text, at, joined, simple = text.strip(), 0, "", []
+        lead = COMBINATOR.match(text) if nest and not depth else None
+        if lead and lead[1]:  # "> p" inside of a rule
+            self.parts, joined, at = [("", [self._nest()])], lead[1], lead.end()
         while at < len(text):
             m = SIMPLE.match(text, at)
             if m and m.end() > at:
@@ -427,12 +439,23 @@ class Selector:
         if not simple:
             raise ValueError(text)
         self.parts.append((joined, simple))
+        if nest and not self.nested and not depth:
+            self.parts = [("", [self._nest()]), (" ", self.parts[0][1]), *self.parts[1:]]
         # (combinator towards the right neighbour, compound), the subject first
         joins = [j for j, _ in self.parts[1:]]
         self.parts = [(j, p) for j, (_, p) in zip(["", *reversed(joins)], reversed(self.parts))]
         self.key = next((x[:2] for kind in ("id", "class", "tag") for x in self.parts[0][1] if x[0] == kind and x[1] != "*"), ("", ""))
 
+    def _nest(self) -> tuple:
+        if not self.nest:
+            return "pseudo", "root", ""
+        self.nested = True
+        self.weight = [a + b for a, b in zip(self.weight, max(s.weight for s in self.nest))]
+        return "nest", self.nest
+
     def _simple(self, m: re.Match, depth: int) -> tuple:
+        if m["nest"]:
+            return self._nest()
         kind = "pseudo" if m["pseudo"] else "id" if m["id"] else "class" if m["class"] else "name" if m["name"] else "tag"
         if kind == "tag":
             self.weight[2] += m["tag"] != "*"
@@ -442,7 +465,9 @@ class Selector:
             if m["colons"] == "::" or name in OLD_ELEMENTS:
                 return "never", name
             if name in ("not", "is", "where", "matches", "any", "-webkit-any", "-moz-any") and m["inside"] is not None and depth < 4:
-                inner = [Selector(x, depth + 1) for x in _split(m["inside"])]
+                inner = [Selector(x, depth + 1, self.nest) for x in _split(m["inside"])]
+                self.nested = self.nested or any(i.nested for i in inner)
+                self.inside += [x for i in inner for x in (*i.inside, i)]
                 if name != "where":
                     self.weight = [a + b for a, b in zip(self.weight, max(i.weight for i in inner))]
                 return ("not" if name == "not" else "is"), inner
@@ -467,7 +492,13 @@ class Visibility:
         self.rules: dict[tuple[str, str], list[tuple]] = {}
         self.layers: dict[tuple, dict[str, int]] = {}
         self.siblings: dict[int, tuple[Node, dict[int, int], list[Node]]] = {}
-        self.count = self.steps = 0
+        self.count = 0
+        # truths by (selector or list of selectors, part) and node; ``ahead`` are settled first, for all nodes
+        self.known: dict[tuple[int, int], dict[int, bool | None]] = {}
+        self.ahead: list[tuple] = []
+        self.depths: dict[int, int] = {}
+        self.settled: set[tuple[int, int]] = set()
+        self.kept = 0
         for media, sheet in sheets:
             holds = applies(media)
             if holds is not False:
@@ -477,7 +508,7 @@ class Visibility:
 
     def _read(self, sheet: str, holds: bool | None) -> None:
         # (selectors or None outside of rules, if the surroundings hold, layer); False: nothing here holds
-        stack: list[tuple[list[str] | None, bool | None, tuple]] = [(None, holds, ())]
+        stack: list[tuple[list[Selector] | None, bool | None, tuple]] = [(None, holds, ())]
         text: list[str] = []
         for token in CSS.findall(sheet):
             if token.startswith("/*"):
@@ -508,7 +539,7 @@ class Visibility:
             layer = (*layer, known.setdefault(part.strip(), len(known)))
         return layer
 
-    def _open(self, head: str, selectors: list[str] | None, holds: bool | None, layer: tuple) -> tuple:
+    def _open(self, head: str, selectors: list[Selector] | None, holds: bool | None, layer: tuple) -> tuple:
         if head.startswith("@"):
             name = re.match(r"@([\w-]*)", head)[1].lower()
             rest = head[len(name) + 1 :].strip()
@@ -518,25 +549,27 @@ class Visibility:
                 return None, False, layer
             state = applies(rest) if name == "media" else True if name == "supports" and SUPPORTED.match(rest) else None
             return selectors, _all((holds, state)), layer
-        own = [x.strip() for x in _split(head)]
-        if selectors:
-            if sum((x.count("&") + 1) * len(of) for x in own for of in selectors) > MOST_SELECTOR_CHARS:
-                return ["*"], _all((holds, None)), layer
-            own = [x.replace("&", of) if "&" in x else f"{of} {x}" for x in own for of in selectors]
+        if holds is False:
+            return [], False, layer
+        try:
+            own = [Selector(x, nest=selectors or None) for x in _split(head)]
+        except ValueError:
+            return [], False, layer  # a list with an error in it is no rule, nor is what is nested in it
+        for selector in (x for o in own for x in (*o.inside, o)):
+            self.ahead += [(selector, k) for k in range(len(selector.parts) - STRIDE, 0, -STRIDE)]
+        depth = self.depths[id(own)] = self.depths.get(id(selectors), 0) + 1
+        if depth % STRIDE == 0:
+            self.ahead.append((own, 0))
         return own, holds, layer
 
-    def _add(self, text: str, selectors: list[str], holds: bool | None, layer: tuple) -> None:
+    def _add(self, text: str, selectors: list[Selector], holds: bool | None, layer: tuple) -> None:
         declared = _declared(text)
         if not declared:
             return
         name, effect, important = declared
-        try:
-            parsed = [Selector(x) for x in selectors]
-        except ValueError:
-            return  # a list with an error in it is no rule
         rank = (*layer, float("inf"))
         rank = tuple(-x for x in rank) if important else rank
-        for selector in parsed:
+        for selector in selectors:
             self.count += 1
             self.rules.setdefault(selector.key, []).append((selector, holds, name, effect, (important, False, rank, selector.weight, self.count)))
 
@@ -563,6 +596,8 @@ class Visibility:
             return a.get("id") == x[1]
         if kind == "never":
             return False
+        if kind == "nest":
+            return self._any_of(x[1], node)
         if kind in ("is", "not"):
             state = _any(self.matches(s, node) for s in x[1])
             return state if kind == "is" or state is None else not state
@@ -601,20 +636,60 @@ class Visibility:
         return None
 
     def matches(self, selector: Selector, node: Node) -> bool | None:
-        state = _all(self._simple(x, node) for x in selector.parts[0][1])
-        now = {} if state is False else {id(node): (node, state)}
-        for joined, compound in selector.parts[1:]:
-            found: dict[int, tuple[Node, bool | None]] = {}
-            for of, state in now.values():
-                for k, other in enumerate(self._joined(of, joined)):
-                    self.steps += 1
-                    if k >= MOST_ANCESTORS or self.steps > MOST_STEPS:
-                        return None
-                    here = _all((state, *(self._simple(x, other) for x in compound)))
-                    if here or here is None and id(other) not in found:
-                        found[id(other)] = (other, here)
-            now = found
-        return _any(state for _, state in now.values())
+        return self._from(selector, 0, node)
+
+    def _from(self, selector: Selector, at: int, node: Node) -> bool | None:
+        """If ``node`` fits the compound ``at`` and its surroundings fit those to the left."""
+        if at:
+            known = self.known.setdefault((id(selector), at), {})
+            if id(node) in known:
+                return known[id(node)]
+        state = _all(self._simple(x, node) for x in selector.parts[at][1])
+        if state is not False and at + 1 < len(selector.parts):
+            state = _all((state, self._beside(selector, at + 1, node)))
+        if at:
+            known[id(node)] = state
+            self.kept += 1
+        return state
+
+    def _beside(self, selector: Selector, at: int, node: Node) -> bool | None:
+        """If a node that the combinator of compound ``at`` leads to from ``node`` fits it; each node is asked once."""
+        joined = selector.parts[at][0]
+        if joined in ">+":
+            other = next(self._joined(node, joined), None)
+            return False if other is None else self._from(selector, at, other)
+        known = self.known.setdefault((id(selector), -at), {})
+        path = [node]
+        for other in self._joined(node, joined):
+            if id(path[-1]) in known:
+                break
+            path.append(other)
+        state = known.setdefault(id(path[-1]), False)  # the last one leads nowhere
+        for k in range(len(path) - 2, -1, -1):
+            state = known[id(path[k])] = _any((state, self._from(selector, at, path[k + 1])))
+        return state
+
+    def _any_of(self, selectors: list[Selector], node: Node) -> bool | None:
+        known = self.known.setdefault((id(selectors), 0), {})
+        if id(node) not in known:
+            known[id(node)] = _any(self.matches(s, node) for s in selectors)
+        return known[id(node)]
+
+    def _look_ahead(self, node: Node) -> None:
+        """Settle every ``STRIDE``-th step of long chains of compounds and of nested rules, from their outer ends."""
+        steps, self.ahead = self.ahead, []
+        self.settled = {(id(of), at) for of, at in steps}
+        while node.parent is not None:
+            node = node.parent
+        nodes = [node]
+        for of in nodes:
+            nodes.extend(c for c in of.children if not isinstance(c, str))
+        for of, at in steps:
+            for other in nodes:
+                if at:
+                    self._from(of, at, other)
+                else:
+                    self._any_of(of, other)
 
     def _joined(self, node: Node, joined: str):
         if joined in "+~":
@@ -637,6 +712,10 @@ class Visibility:
                 declared = _declared(text)
                 if declared:
                     found.setdefault(declared[0], []).append(((declared[2], True, (), [], k), declared[1]))
+        if self.ahead:
+            self._look_ahead(node)
+        if self.kept > KEPT:
+            self.known, self.kept = {k: v for k, v in self.known.items() if k in self.settled}, 0
         if self.rules:
             keys = [("", ""), ("tag", tag), *(("class", c) for c in dict.fromkeys(a.get("class", "").split())), ("id", a.get("id"))]
             for key in keys:

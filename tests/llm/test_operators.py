@@ -109,6 +109,25 @@ def test_long_style_sheets():
     assert html_text.visible_text("<style>p{" + "& &{" * 60 + "display:none</style><p>x") == "x"
 
 
+def test_styles_without_limits(monkeypatch):
+    """Far ancestors, long and deep selectors and many steps are judged like any others."""
+    far = '<div class="a">' + "<i>" * 400 + '<b class="b">hidden</b>'
+    assert html_text.visible_text("<style>.a .b{display:none}</style>" + far) == ""
+    names = ",".join(f".{'x' * 50}{k}" for k in range(1000))
+    assert html_text.visible_text("<style>" + names + ",p{b{display:none}}</style><p>x<b>y") == "x"
+    deep = "<style>p{" + "&{" * 300 + "b{display:none}</style><p>x<b>y"
+    assert html_text.visible_text(deep) == "x"
+    long = "<style>" + "i " * 300 + "b{display:none}</style>"
+    assert html_text.visible_text(long + "<i>" * 300 + "x<b>y") == "x"
+    assert html_text.visible_text(long + "<i>" * 299 + "x<b>y") == "xy"
+    many = "<style>" + "".join(f"i~i i~i>b#n{k}{{display:none}}" for k in range(500)) + "</style>"
+    page = many + "<div>" + "<i></i>" * 50 + "<i>" + "<i></i>" * 50 + "<i>x" + "".join(f"<b id=n{k}>y</b>" for k in range(500))
+    assert html_text.visible_text(page) == "x"
+    monkeypatch.setattr(html_text, "KEPT", 100)  # found again after they were dropped
+    assert html_text.visible_text(page) == "x"
+    assert html_text.visible_text("<style>p{> b{display:none} :is(& u){display:none}}</style><p>x<b>y</b><i><b>z</b><u>w") == "xz"
+
+
 def test_long_and_deep_pages():
     assert html_text.visible_text("<div>" * 20_000 + "x") == "x"
     assert html_text.visible_text("<b>" * 20_000 + "<p>x") == "x"
