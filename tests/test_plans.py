@@ -92,6 +92,19 @@ def test_conflict_penalties_equal_the_pairs(layers):
     assert joined.where("abs(s - conflict_penalty_pct) > 1e-9").count() == 0
 
 
+def test_conflict_numbers_equal_the_pairs_and_form_none(spark, monkeypatch):
+    rows = [(f"i{k % 70:02d}", "p", f"l{k % 2}", "c", 40_000.0 * (k * 7 % 31), int(k % 3 == 0)) for k in range(80)]
+    rows += [("one", "p", "l9", "c", 1.0, 1), ("none", "p", "l0", "c", None, 1), ("half", "p", None, "c", 1.0, 1)]
+    pool = spark.createDataFrame(rows, "iniciativa_id string, planta_id string, linea_id string, categoria_iniciativa string, capex_estimado double, quick_win_flag int")
+    pairs = scenario.conflicts(pool).select(F.explode(F.array("iniciativa_id_1", "iniciativa_id_2")).alias("iniciativa_id"))
+    want = sorted(tuple(r) for r in pairs.groupBy("iniciativa_id").count().collect())
+    assert sorted(tuple(r) for r in scenario.conflict_numbers(pool).collect()) == want
+    from plantlume.workload import decision_queries
+
+    monkeypatch.setattr(decision_queries.scenario, "conflicts", None)
+    assert decision_queries.conflicts_per_initiative(spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_snapshot_checks_and_documents(layers):
     final, days, lines = layers.stored("prioritization"), layers.stored("scored_line_days"), layers.stored("line_scores")
     snap = quality.kpi_snapshot(days, lines, final)
