@@ -277,3 +277,14 @@ def test_table_helpers(spark):
     ends = tables.edge_ends(spark.createDataFrame([("i", "j", 8.0)], "p string, q string, w double"), "p", "q", "id", ["w"])
     assert {r.id for r in ends.collect()} == {"i", "j"}
     assert durable(df.limit(0)).count() == 0
+
+
+def test_join_in_cells_spreads_the_pairs_of_a_key(spark, monkeypatch):
+    rows = spark.createDataFrame([("a" if k < 90 else "b" if k < 95 else None, k) for k in range(100)], "g string, i int")
+    left, right = rows.withColumnRenamed("i", "x"), rows.withColumnRenamed("i", "y")
+    monkeypatch.setattr(joins, "TASK_PAIRS", 100)
+    dealt = joins.join_in_cells(left, right, ["g"], "x", "y", cell=7)
+    assert sorted(dealt.collect()) == sorted(left.join(right, "g").collect())
+    sizes = [n for n in dealt.select("x").rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
+    assert sum(sizes) == 90 * 90 + 25 and max(sizes) < 1500
+    assert joins.join_in_cells(left.limit(0), right, ["g"], "x", "y").count() == 0
