@@ -288,3 +288,22 @@ def test_join_in_cells_spreads_the_pairs_of_a_key(spark, monkeypatch):
     sizes = [n for n in dealt.select("x").rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
     assert sum(sizes) == 90 * 90 + 25 and max(sizes) < 1500
     assert joins.join_in_cells(left.limit(0), right, ["g"], "x", "y").count() == 0
+
+
+def test_distinct_rows_are_found_in_bounded_shares(spark, monkeypatch):
+    monkeypatch.setattr(tables, "SHARE_ROWS", 100)
+    rows = spark.range(0, 3000, 1, 1).select((F.col("id") % 1000).alias("i"), F.when(F.col("id") % 2 == 0, "x").alias("t"))
+    spread = tables.spread_distinct(rows)
+    assert sorted(spread.collect(), key=repr) == sorted(rows.distinct().collect(), key=repr)
+    shares = spread.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert len(shares) >= 30 and max(shares) < 200
+    plan = tables.spread_distinct(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in plan  # nothing is collected before the rows are dealt
+
+
+def test_lineage_edges_of_repeated_decisions(spark):
+    from plantlume.plans import lineage
+
+    once = spark.createDataFrame([("a",), ("b",)], "iniciativa_id string")
+    edges = lineage.edges(once.unionByName(once))
+    assert sorted(edges.collect()) == sorted(lineage.edges(once).collect()) == sorted(edges.distinct().collect())
