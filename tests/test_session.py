@@ -59,3 +59,23 @@ def test_rewritten_input_is_read_anew(spark, sf_dir, tmp_path):
         half.to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
         spark.catalog.clearCache()
         assert 0 < Layers(spark, str(tmp_path)).stored("line_hour").count() < n
+
+
+def test_tables_are_written_by_code_that_the_jvm_compiles(spark, monkeypatch):
+    """Methods above 8000 bytes would be interpreted; the caller's setting is back afterwards, also after an error."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from plantlume.session import HUGE_METHOD, durable, release
+
+    before, write, seen = spark.conf.get(HUGE_METHOD), DataFrameWriter.parquet, []
+
+    def noted(self, path, *args, **kwargs):
+        seen.append(int(spark.conf.get(HUGE_METHOD)))
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    release(durable(spark.range(3)))
+    with pytest.raises(Exception, match="no such row"):
+        durable(spark.range(3).select(F.raise_error(F.lit("no such row")).alias("x")))
+    assert seen == [8000, 8000] and spark.conf.get(HUGE_METHOD) == before
