@@ -214,3 +214,47 @@ def test_scores_that_differ_in_the_last_bits_rank_by_id(spark):
     scored = spark.createDataFrame(rows, ["iniciativa_id", *PRIORITY_WEIGHTS])
     found = weight_sensitivity(scored, {"base": tuple(PRIORITY_WEIGHTS.values())}).collect()
     assert {r["iniciativa_id"]: r["ranking"] for r in found} == {"c": 1, "a": 2, "b": 3}
+
+
+def stored_shapes(monkeypatch):
+    """Columns and, after the run, rows of every table that is stored, by name."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    seen, write = {}, DataFrameWriter.parquet
+
+    def noted(self, path, *args, **kwargs):
+        write(self, path, *args, **kwargs)
+        df = self._spark.read.parquet(path)
+        seen.setdefault(path.rsplit("/", 1)[-1].rsplit("-", 1)[0], []).append((len(df.columns), df.count()))
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    return seen
+
+
+def test_only_needed_items_are_looked_up(spark, monkeypatch):
+    """The forced set looks only at what something needs; missing, unavailable and cyclic needs are still told apart."""
+    items = [(f"i{k:02d}", "p", f"c{k}", "discretionary", 100, 5) for k in range(30)] + [("m", "p", "z", "mandatory", 100, 9)]
+    needs = [("m", "i00"), ("i01", "nothing"), ("i02", "i03"), ("i03", "i02"), ("i04", "i00")]
+    seen = stored_shapes(monkeypatch)
+    chosen = run(spark, items, needs)[0]
+    assert {"m", "i00", "i04"} <= chosen and not chosen & {"i01", "i02", "i03"}
+    assert seen["allowed"][0][1] == 3  # i00, i02 and i03
+    assert seen["known"][0][1] == 3
+
+
+def test_prioritization_stores_no_wide_rows_on_the_way(spark, monkeypatch):
+    from plantlume.workload.layers import Layers
+
+    layers = Layers(spark, "/root/testdata/sf0.001")
+    layers.stored("priorities"), layers.stored("selection")
+    seen = stored_shapes(monkeypatch)
+    final = layers.prioritization()
+    assert {width for name in ("prioritized", "sliced") for width, _ in seen[name]} <= set(range(15))
+    assert final.count() == layers.stored("priorities").count() and len(final.columns) > 60
+
+
+def test_value_pool_is_dealt_out(spark):
+    from plantlume.workload.layers import Layers
+
+    plan = Layers(spark, "/root/testdata/sf0.001").value_pool()._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [iniciativa_id" in plan
