@@ -79,3 +79,13 @@ def test_tables_are_written_by_code_that_the_jvm_compiles(spark, monkeypatch):
     with pytest.raises(Exception, match="no such row"):
         durable(spark.range(3).select(F.raise_error(F.lit("no such row")).alias("x")))
     assert seen == [8000, 8000] and spark.conf.get(HUGE_METHOD) == before
+
+
+def test_structural_checks_count_without_wide_tables(spark, sf_dir):
+    with session.stored_tables():
+        before = tables_in(spark)
+        planned = all_queries()["structural_checks"](spark, sf_dir).collect()
+        assert {name.rpartition("-")[0] for name in tables_in(spark) - before} <= {"value_pool"}
+        for name in ("scored_line_days", "equipment_scores", "scenario_table"):
+            Layers(spark, sf_dir).stored(name)
+        assert all_queries()["structural_checks"](spark, sf_dir).collect() == planned  # now from the written tables
