@@ -13,6 +13,8 @@ occurrences of a string together:
   into suffix order by prefix doubling, and the nearest smaller and greater positions on both
   sides of a suffix give its longest previous and longest next factor. A window whose factor
   reaches ``length`` occurs before, or behind.
+* Anchors with very many different runs are not put into one suffix order: their runs are cut into pieces by
+  the distance to the anchor, and hashes of pieces, then of the windows of pieces still in doubt, are counted.
 
 Groups meet by a shuffle on the anchor. Which runs go on is told to the second scan by a bit table
 of fixed size; a bit set by chance costs a few rows and changes nothing.
@@ -64,7 +66,11 @@ class Anchors:
 
     def __init__(self, length: int, gram: int = GRAM):
         self.length, self.gram = length, min(gram, length)
-        self.up = self.down = np.ones(0, np.uint64)
+        self.up = self.down = self.total = np.ones(0, np.uint64)
+
+    def hash_of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from ``begin`` to before ``end`` of the texts that ``runs`` had last."""
+        return (self.total[end] - self.total[begin]) * self.down[begin]
 
     def runs(self, texts: list[bytes]):
         """Arrays (text, anchor, print, first window, last window, place of the anchor), a run each.
@@ -106,8 +112,8 @@ class Anchors:
         if len(raw) > len(self.up):
             n = max(len(raw), SCAN_BYTES + (SCAN_BYTES >> 2))
             self.up, self.down = _powers(_B, n), _powers(_INV, n)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide * self.up[: len(wide)])])
-        print_ = (total[last + length] - total[first]) * self.down[first]
+        self.total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(wide * self.up[: len(wide)])])
+        print_ = self.hash_of(first, last + length)
         print_ = mix64(print_ ^ mix64(((at - first) << 32 | (last - first)).astype(np.uint64)))
         return owner[cuts], mixed[at], print_, first, last, at, raw, begins
 
@@ -341,28 +347,73 @@ def _among(anchor: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hot[np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)] == anchor
 
 
-_WINDOWS = "anchor long, print long, row long, first int, at int, window long"
+class Pieces:
+    """The runs at hot anchors of a scan, cut where the distance to the anchor passes a multiple of a step.
 
+    Equal windows have their anchor at the same place, so they are in pieces of the same number. All windows
+    of a piece hold its ``core``, whatever the run; ``full`` is a hash of all its bytes. Pieces whose
+    cores differ share no window, and those whose ``full`` is equal share all.
+    """
 
-def _scan_windows(batches: Batches, schema: pa.Schema, hot, wanted, hot_rows, length: int) -> Batches:
-    """A hash of every window of the leading runs at hot anchors; copies of a run stay out."""
-    hot, anchors = hot.value, Anchors(length)
+    def __init__(self, anchors: Anchors, rows: np.ndarray, texts: list[bytes], hot: np.ndarray, wanted: np.ndarray):
+        owner, anchor, print_, first, last, at, self.raw, begins = anchors.runs(texts)
+        place = (first - begins[owner]).astype(np.int32)
+        k = np.flatnonzero(_among(anchor, hot) & _has(wanted, run_key(print_, rows[owner], place))) if len(anchor) else owner
+        step = int(np.ceil(np.sqrt(anchors.length - anchors.gram + 1)))
+        near, far = (at - last)[k], (at - first)[k]  # distances of the run's windows to the anchor
+        n = far // step - near // step + 1
+        number = np.repeat(near // step, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        near, far, k = np.maximum(np.repeat(near, n), number * step), np.minimum(np.repeat(far, n), number * step + step - 1), np.repeat(k, n)
+        at = at[k]
+        self.begin, self.end = at - far, at - near  # first and last window
+        self.anchor, self.print, self.row, self.first = anchor[k], print_[k], rows[owner[k]], place[k]
+        self.lo, self.hi = (self.begin - first[k]).astype(np.int32), (self.end - first[k]).astype(np.int32)
+        core = anchors.hash_of(at - number * step, at - number * step + (anchors.length - step + 1)) if len(k) else self.anchor
+        self.core = mix64(core ^ mix64(self.anchor ^ mix64(number.astype(np.uint64))))
+        full = anchors.hash_of(self.begin, self.end + anchors.length) if len(k) else self.anchor
+        self.full = mix64(full ^ mix64((far << 32 | near).astype(np.uint64)))
+        self.key = run_key(self.core ^ self.full, self.row, self.first)
+
+
+_PIECES = "core long, full long, anchor long, print long, row long, first int, lo int, hi int, key long, row_key long"
+
+
+def _scan_pieces(batches: Batches, schema: pa.Schema, hot, wanted, hot_rows, length: int) -> Batches:
+    """Pieces of the leading runs at hot anchors; copies of a run stay out."""
+    anchors = Anchors(length)
     bits, row_bits = (np.frombuffer(b.value, np.uint8) for b in (wanted, hot_rows))
     for rows, texts in _only(_chunks(batches), row_bits):
-        owner, anchor, print_, first, last, _, raw, begins = anchors.runs(texts)
-        if not len(anchor):
-            continue
-        k = np.flatnonzero(_among(anchor, hot) & _has(bits, run_key(print_, rows[owner], (first - begins[owner]).astype(np.int32))))
+        p = Pieces(anchors, rows, texts, hot.value, bits)
+        if len(p.row):
+            longs = (p.core, p.full, p.anchor, p.print, p.row)
+            keys = (p.key, mix64(p.row.view(np.uint64)))
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(c.view(np.int64)) for c in longs), *(pa.array(c) for c in (p.first, p.lo, p.hi)),
+                 *(pa.array(c.view(np.int64)) for c in keys)],
+                schema=schema,
+            )
+
+
+_WINDOWS = "anchor long, print long, row long, first int, at int, window long"
+
+
+def _scan_windows(batches: Batches, schema: pa.Schema, hot, wanted, open_pieces, open_rows, length: int) -> Batches:
+    """A hash of every window of the open pieces: their core is in other pieces, too, that are not equal."""
+    anchors = Anchors(length)
+    bits, piece_bits, row_bits = (np.frombuffer(b.value, np.uint8) for b in (wanted, open_pieces, open_rows))
+    for rows, texts in _only(_chunks(batches), row_bits):
+        p = Pieces(anchors, rows, texts, hot.value, bits)
+        k = np.flatnonzero(_has(piece_bits, p.key))
         if not len(k):
             continue
-        hashes = mix64(Anchors._rolled(raw.astype(np.uint64) + np.uint64(1), length))
-        n = (last - first + 1)[k]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        n = (p.end - p.begin + 1)[k]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         wide = np.repeat(k, n)
+        begin = p.begin[wide] + step
+        hashes = mix64(anchors.hash_of(begin, begin + length))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(anchor[wide].view(np.int64)), pa.array(print_[wide].view(np.int64)), pa.array(rows[owner[wide]]),
-             pa.array((first - begins[owner])[wide].astype(np.int32)), pa.array(at.astype(np.int32)),
-             pa.array(hashes[first[wide] + at].view(np.int64))],
+            [pa.array(p.anchor[wide].view(np.int64)), pa.array(p.print[wide].view(np.int64)), pa.array(p.row[wide]),
+             pa.array(p.first[wide]), pa.array((p.lo[wide] + step).astype(np.int32)), pa.array(hashes.view(np.int64))],
             schema=schema,
         )
 
@@ -427,17 +478,16 @@ def _arrow(ddl: str) -> tuple[T.StructType, pa.Schema]:
     return kind, pa.schema([pa.field(f.name, arrow_type(f.dataType)) for f in kind.fields])
 
 
-def _ranges_of(at: str) -> F.Column:
-    """Sorted distinct numbers of a group as ranges."""
-    joined = F.array_sort(F.collect_set(at))
-    single = F.struct(F.element_at(joined, 1).alias("a"), F.element_at(joined, 1).alias("b"))
+def _ranges_of(when: F.Column) -> F.Column:
+    """The ranges ``a`` to ``b`` of a group where ``when`` holds, in order and joined where they meet."""
+    ranges = F.array_sort(F.collect_list(F.when(when, F.struct("a", "b"))))
 
     def step(done, x):
         end = F.element_at(done, -1)
-        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(end["a"].alias("a"), x.alias("b"))))
-        return F.when(end["b"] >= x - 1, longer).otherwise(F.concat(done, F.array(F.struct(x.alias("a"), x.alias("b")))))
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(end["a"].alias("a"), F.greatest(end["b"], x["b"]).alias("b"))))
+        return F.when(end["b"] >= x["a"] - 1, longer).otherwise(F.concat(done, F.array(x)))
 
-    return F.when(F.size(joined) > 0, F.aggregate(joined, F.array(single), step))
+    return F.aggregate(F.slice(ranges, 2, F.greatest(F.size(ranges), F.lit(1))), F.slice(ranges, 1, 1), step)
 
 
 def _spans(numbered: DataFrame, length: int, keep: str, hot_prints: int, most_hot: int) -> DataFrame:
@@ -495,22 +545,46 @@ def _bit_table(df: DataFrame, key: F.Column) -> bytes:
 
 
 def _hot_hits(texts: DataFrame, hot, wanted, hot_rows, length: int) -> tuple[DataFrame, list[DataFrame]]:
-    """The same for anchors with very many prints: windows are counted by hash, in as many tasks as it takes."""
+    """The same for anchors with very many prints, in as many tasks as it takes.
+
+    Pieces of runs are counted by their hash. Only where one core has different pieces, and of equal ones
+    only in the first, are windows counted one by one.
+    """
+    share = texts.sparkSession.sparkContext.broadcast
+    kind, schema = _arrow(_PIECES)
+    pieces = stored(
+        arrow_map(texts, partial(_scan_pieces, schema=schema, hot=hot, wanted=wanted, hot_rows=hot_rows, length=length), kind), "suffix-pieces"
+    )
+    # one row per core and piece, so a piece that all runs have is counted in parts first
+    equal = stored(
+        pieces.groupBy("core", "full").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first", "key", "row_key")).alias("leader")),
+        "suffix-equal",
+    )
+    several = stored(equal.groupBy("core").count().where(F.col("count") > 1).select("core"), "suffix-cores")
+    unequal = stored(equal.join(several, "core").select("leader.key", "leader.row_key"), "suffix-open")
+    open_pieces, open_rows = (share(_bit_table(unequal, F.col(c))) for c in ("key", "row_key"))
+    release(several, unequal)
+    leader = F.struct(F.col("leader.row"), F.col("leader.first"))
+    whole = pieces.join(equal.where(F.col("n") > 1).select("core", "full", "leader"), ["core", "full"]).select(
+        "anchor", "print", F.col("lo").alias("a"), F.col("hi").alias("b"), (F.struct("row", "first") > leader).alias("is_earlier")
+    )
+
     kind, schema = _arrow(_WINDOWS)
-    windows = arrow_map(texts, partial(_scan_windows, schema=schema, hot=hot, wanted=wanted, hot_rows=hot_rows, length=length), kind)
-    by_print = windows.groupBy("anchor", "window", "print", "at").agg(F.min(F.struct("row", "first")).alias("place"))
+    scan = partial(_scan_windows, schema=schema, hot=hot, wanted=wanted, open_pieces=open_pieces, open_rows=open_rows, length=length)
+    by_print = arrow_map(texts, scan, kind).groupBy("anchor", "window", "print", "at").agg(F.min(F.struct("row", "first")).alias("place"))
     by_print = stored(by_print, "suffix-windows")
-    # one row per window and print, so a hash shared by all prints is still counted in parts first
+    # likewise for a hash shared by all prints
     counted = stored(
         by_print.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first_place")).where(F.col("n") > 1),
         "suffix-windows",
     )
-    found = by_print.join(counted, ["anchor", "window"]).withColumn("is_earlier", F.col("place") > F.col("first_place"))
-    ranges = found.groupBy("anchor", "print").agg(
-        F.coalesce(_ranges_of(F.when(F.col("is_earlier"), F.col("at"))), F.array().cast("array<struct<a:int,b:int>>")).alias("earlier"),
-        _ranges_of("at").alias("other"),
+    single = by_print.join(counted, ["anchor", "window"]).select(
+        "anchor", "print", F.col("at").alias("a"), F.col("at").alias("b"), (F.col("place") > F.col("first_place")).alias("is_earlier")
+    )
+    ranges = whole.unionByName(single).groupBy("anchor", "print").agg(
+        _ranges_of(F.col("is_earlier")).alias("earlier"), _ranges_of(F.lit(True)).alias("other")
     )
-    return ranges, [by_print, counted]
+    return ranges, [pieces, equal, by_print, counted]
 
 
 def _covered(spans, size: int, length: int) -> list[tuple[int, int]]:
@@ -564,8 +638,8 @@ def repeated_passages(
     empty; texts under ``length`` bytes have no strings. Repeated rows repeat each other. No rows
     give no rows; other columns are ignored.
 
-    Anchors with more than ``hot_prints`` different runs are matched by counting window hashes
-    instead of in a suffix array; beyond the ``most_hot`` largest of them they stay in one.
+    Anchors with more than ``hot_prints`` different runs are matched by counting hashes of pieces of runs, and of
+    windows where pieces differ, instead of in a suffix array; beyond the ``most_hot`` largest of them they stay in one.
     """
     numbered = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "suffix-input")
     spans = _spans(numbered, length, keep, hot_prints, most_hot)

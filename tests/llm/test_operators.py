@@ -654,6 +654,29 @@ def test_repeats_equal_brute_force(spark, hot, keep):
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 50, keep == "first")
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_common_passage_leaves_few_windows(spark, monkeypatch, keep):
+    r = random.Random(11)
+    line = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage, other = line(420), line(300)
+    texts = [line(r.randrange(150, 300)) + (passage if k % 4 else passage[: r.randrange(180, 420)]) + line(r.randrange(150, 300)) for k in range(50)]
+    texts += [line(250) + other + line(250) for _ in range(10)] + texts[:3]
+    rows, stored = [], suffix_dedup.stored
+
+    def counting(df, name):
+        back = stored(df, name)
+        if name == "suffix-windows" and "at" in back.columns:
+            rows.append((back.count(), back.select("anchor", "print").distinct().count()))
+        return back
+
+    monkeypatch.setattr(suffix_dedup, "stored", counting)
+    found = suffix_dedup.repeated_passages(table(spark, texts).coalesce(1), keep=keep, hot_prints=8)
+    got = {x["doc_id"]: (x["n_bytes"], sum(y["end"] - y["first"] for y in x["removed"]), x["kept_sha256"]) for x in found.collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 200, keep == "first")
+    (windows, runs), = rows
+    assert 0 < windows <= 26 * runs  # the pieces at the two ends of the passage
+
+
 def test_factors_equal_brute_force():
     import numpy as np
 
