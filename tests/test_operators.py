@@ -307,3 +307,26 @@ def test_lineage_edges_of_repeated_decisions(spark):
     once = spark.createDataFrame([("a",), ("b",)], "iniciativa_id string")
     edges = lineage.edges(once.unionByName(once))
     assert sorted(edges.collect()) == sorted(lineage.edges(once).collect()) == sorted(edges.distinct().collect())
+
+
+def test_block_pairs_are_whole_and_few_are_formed_in_vain(spark, monkeypatch):
+    monkeypatch.setattr(joins, "RUN_ROWS", 3)
+    monkeypatch.setattr(joins, "BLOCK_ROWS", 10)
+    nan, inf = float("nan"), float("inf")
+    odd = [nan, nan, inf, -inf, None, -0.0, 0.0, 0.1, 100.1, 100.1, 131072.3, 131172.3, 131172.4]
+    rows = [("g", k % 3 == 0, v, f"o{k}") for k, v in enumerate(odd)] + [(None, True, 1.0, "n"), ("one", True, 5.0, "x")]
+    rows += [("g", k % 4 == 0, 1000.0 + 10.0 * (k // 2), f"i{k % 97}") for k in range(300)] + [("g", True, 7.0, "d")] * 12
+    df = spark.createDataFrame(rows, "g string, q boolean, v double, i string")
+    blocks = joins.value_blocks(df, ["g", "q"], "i", "v")
+    after = "a.g = b.g AND (b.v > a.v OR b.v = a.v AND b.i > a.i)"
+    df.createOrReplaceTempView("block_rows")
+    for where, gap, text in (
+        (F.col("q_1") & F.col("q_2"), None, "a.q AND b.q"),
+        (~(F.col("q_1") & F.col("q_2")), 100, "NOT (a.q AND b.q) AND b.v - a.v <= 100"),
+    ):
+        got = joins.block_pairs(blocks, ["g"], where, gap).select("g", "id_1", "id_2").collect()
+        want = spark.sql(f"SELECT a.g, a.i, b.i FROM block_rows a JOIN block_rows b ON {after} AND {text}").collect()
+        assert len(got) > 1000 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    wide = spark.range(2000).select(F.lit("g").alias("g"), F.col("id").cast("double").alias("v"), F.col("id").alias("i"))
+    cells = joins.block_cells(joins.value_blocks(wide, ["g"], "i", "v"), ["g"], F.lit(True), 20)
+    assert cells.agg(F.sum("pairs")).first()[0] < 2000 * 60

@@ -105,6 +105,17 @@ def test_conflict_numbers_equal_the_pairs_and_form_none(spark, monkeypatch):
     assert decision_queries.conflicts_per_initiative(spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_conflicts_read_the_pool_once(spark, capsys):
+    pool = spark.range(40).selectExpr(
+        "concat('i', id) AS iniciativa_id", "'p' AS planta_id", "'l' AS linea_id", "'c' AS categoria_iniciativa",
+        "id * 30000D AS capex_estimado", "CAST(id % 2 AS INT) AS quick_win_flag",
+    )
+    pairs = scenario.conflicts(pool)
+    pairs.explain()
+    assert "Range (0, 40" not in capsys.readouterr().out
+    assert pairs.count() == sum(40 - d for d in (1, 2, 3)) + sum((40 - d) // 2 for d in range(4, 40, 2))
+
+
 def test_snapshot_checks_and_documents(layers):
     final, days, lines = layers.stored("prioritization"), layers.stored("scored_line_days"), layers.stored("line_scores")
     snap = quality.kpi_snapshot(days, lines, final)
